@@ -198,15 +198,19 @@ class Tokenizer:
     def _merge_path(self, part: str) -> list[tuple[int, str]]:
         """The same pass, relaxing by compatibility with the last piece of the path to the start."""
         auto, back, node = self.automaton, [(-2, 0)] * (len(part) + 1), 0
+        goto, word, output, length, valid = auto.goto, auto.word, auto.output, auto.length, self.valid
         for end, c in enumerate(part, 1):
-            node = auto.step(node, c)
-            at = node if auto.word[node] >= 0 else auto.output[node]
+            after = goto[node].get(c)
+            node = auto.step(node, c) if after is None else after
+            at = node if word[node] >= 0 else output[node]
             while at:
-                start, piece = end - auto.length[at], auto.word[at]
-                if self._fits(back[start][0], piece):
+                start, piece = end - length[at], word[at]
+                left = back[start][0]
+                fits = valid.get((left + 2) << 32 | piece)
+                if self._fits(left, piece) if fits is None else fits:
                     back[end] = piece, start
                     break
-                at = auto.output[at]
+                at = output[at]
             else:
                 back[end] = -1, end - 1
         return self._walk(part, back)
