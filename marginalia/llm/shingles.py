@@ -76,7 +76,7 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def slices(sizes: list[int], most: int = 8 << 20):
+def slices(sizes: list[int], most: int = 1 << 20):
     """Ranges of a batch whose sizes sum to ``most`` at most, or of one longer row."""
     at, total = 0, 0
     for i, n in enumerate(sizes):
