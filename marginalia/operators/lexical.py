@@ -58,14 +58,14 @@ def score(blocks: DataFrame, phrases: DataFrame) -> DataFrame:
     all blocks join as one row. Blocks without a match are never shuffled."""
     base = blocks.select("block_id", "ring", words(F.col("text")).alias("_t"), words(F.coalesce("ctx", F.lit(""))).alias("_c"))
     base = base.withColumn("len", F.size("_t") + F.size("_c"))
-    stats = base.agg(F.count("*").alias("N"), F.avg("len").alias("avg_len"))
+    stats = base.agg(F.count("*").alias("n_all"), F.avg("len").alias("avg_len"))
     first = lambda w: F.element_at(F.col("words"), 1)
     # any word that opens with the first word of the phrase: cheap to test before the phrase is counted
     hit = base.join(F.broadcast(phrases), F.exists(F.concat("_t", "_c"), lambda w: F.startswith(w, first(w))))
     tf = phrase_count(F.col("_t"), F.col("words"), F.col("prefix")), phrase_count(F.col("_c"), F.col("words"), F.col("prefix"))
     hit = hit.select("query_id", "phrase_id", "block_id", "ring", "len", (tf[0] + F.lit(CTX_WEIGHT) * tf[1]).alias("tf")).where("tf > 0")
     df = hit.groupBy("query_id", "phrase_id").agg(F.count("*").alias("n"))
-    idf = F.log((F.col("N") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    idf = F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weights = df.crossJoin(F.broadcast(stats)).select("query_id", "phrase_id", "avg_len", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf).alias("idf"))
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avg_len"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)

@@ -82,7 +82,7 @@ def stage(pending: DataFrame, candidates: DataFrame, cap: int = 2000) -> DataFra
 
 
 def turn_summary(events: DataFrame) -> DataFrame:
-    return events.groupBy("session").pivot("kind", ["bash", "write", "read"]).agg(F.count("*")).na.fill(0, ["bash", "write", "read"])
+    return events.groupBy("session").pivot("kind", ["bash", "write", "read"]).count().na.fill(0, ["bash", "write", "read"])
 
 
 def measured_deltas(rows: DataFrame, counters: list[str], lost: str | None = None) -> DataFrame:

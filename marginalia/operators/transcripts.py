@@ -43,7 +43,7 @@ def cache_rebuilds(calls: DataFrame, least: int = 50_000, percent: int = 30, idl
     per = per.where(" + ".join(COUNTERS) + " > 0")
     both = per.withColumn("compact", F.lit(False)).unionByName(compacted, allowMissingColumns=True)
     # the flag is carried to the next call: the nearest earlier row is a compaction
-    flagged = both.withColumn("_c", F.lag("compact").over(w)).where("id is not null").withColumn("compaction", F.coalesce("_c", F.lit(False)))
+    flagged = both.withColumn("_c", F.lag("compact").over(Window.partitionBy("file").orderBy("pos", "compact"))).where("id is not null").withColumn("compaction", F.coalesce("_c", F.lit(False)))
     prior = F.lag(F.col("input_tokens") + F.col("cache_read_input_tokens") + F.col("cache_creation_input_tokens")).over(w)
     seq = flagged.withColumns({"prior": prior, "pm": F.lag("model").over(w), "pv": F.lag("version").over(w), "pt": F.lag("ts").over(w)})
     made = F.col("cache_creation_input_tokens")

@@ -27,3 +27,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import every plan module, which registers its queries."""
+    from . import graph_plans, log_plans, retrieval_plans, text_plans  # noqa: F401

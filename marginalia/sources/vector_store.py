@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +46,6 @@ def read_records(indexes: DataFrame, width: int) -> DataFrame:
 
 def half_codes(column):
     """IEEE half precision, there and back, as the store keeps it."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def convert(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else np.asarray(v, np.float32).astype(np.float16).astype(np.float32))

@@ -34,11 +34,11 @@ def labelled(answers: DataFrame, origin: str, generation: int, fresh: bool, note
     return answers.withColumns({"origin": F.lit(origin), "generation": F.lit(generation), "fresh": F.lit(fresh), "stale_note": F.lit(note)})
 
 
-def session_advice(events: DataFrame, every: int = 25) -> DataFrame:
+def session_advice(events: DataFrame, every: int = 25, idle_ms: int | None = None) -> DataFrame:
     """Keyed state over ``session, pos, kind, file_path``: repeat reads (once a stretch without a write), each n-th event, resets on start.
 
-    Output ``session, pos, advice``. State is the files read of one session, dropped a day after its last event. On a batch the
-    same state runs once over each session, so both give equal rows."""
+    Output ``session, pos, advice``. State is the files read of one session, dropped ``idle_ms`` after its last event where that is given (a
+    query that runs until stopped; with it a query that runs what is available would wait for the timeout)."""
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -61,13 +61,14 @@ def session_advice(events: DataFrame, every: int = 25) -> DataFrame:
             if count % every == 0:
                 out.append((key[0], pos, "cadence"))
         state.update((count, list(files), list(files.values())))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["session", "pos", "advice"])
 
-    return events.groupBy("session").applyInPandasWithState(update, "session string, pos long, advice string", "count long, files array<string>, seen array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("session").applyInPandasWithState(update, "session string, pos long, advice string", "count long, files array<string>, seen array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
-def counter_deltas(rows: DataFrame) -> DataFrame:
+def counter_deltas(rows: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Growth of a cumulative counter per (host, session) from ``pos, total``, never negative, from keyed state."""
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -75,15 +76,16 @@ def counter_deltas(rows: DataFrame) -> DataFrame:
             state.remove()
             return
         last = state.get[0] if state.exists else 0
-        out = []
-        for pos, total in sorted(zip(*(pd.concat(list(frames))[c] for c in ("pos", "total")), strict=True)):
+        out, rows = [], pd.concat(list(frames)).sort_values("pos")
+        for pos, total in zip(rows["pos"], rows["total"], strict=True):
             out.append((key[0], key[1], pos, max(0, int(total) - last)))
             last = int(total)
         state.update((last,))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["host", "session", "pos", "delta"])
 
-    return rows.groupBy("host", "session").applyInPandasWithState(update, "host string, session string, pos long, delta long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("host", "session").applyInPandasWithState(update, "host string, session string, pos long, delta long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def traps_per_batch(events: DataFrame, sink: str, checkpoint: str):
