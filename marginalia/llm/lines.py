@@ -47,14 +47,14 @@ def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
 
 def drop_common_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` with ``text`` reassembled from the lines that stay, plus ``n_lines`` and ``n_dropped``."""
-    drops = dropped_positions(docs, min_chars, min_docs).select(F.col("doc_id").alias("_drop_id"), "drops")
+    drops = dropped_positions(docs, min_chars, min_docs).select(F.col("doc_id").alias("_drop_id"), F.col("drops").alias("_drops"))
     joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_drop_id"]), "left")
     lines = _lines(F.col("text"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("drops"))  # hashed, keeps the order
-    text = F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drops"))  # hashed, keeps the order
+    text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
     out = joined.withColumn("_lines", lines).withColumn("_text", text)
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return out.select(*own, F.col("_text").alias("text"), F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
+    return out.select(*own, F.col("_text").alias("text"), F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
