@@ -7,7 +7,7 @@ only if it and the last piece of the path to its start are what merging their jo
 exactly one piece at each position and yields the ids of the merges.
 
 No piece of the usual models continues behind a blank that follows another character, so texts are cut there and the results
-of short stretches are remembered (``CACHE`` of them at most a worker); a model with such pieces is read uncut.
+of short stretches are remembered (two generations of ``CACHE`` at most a worker; what is still in use moves on to the next); a model with such pieces is read uncut.
 
 Defined results: null or empty text: no ids, text ``""`` (null stays null); characters without a piece: their bytes, or the unknown id, one for a
 run; U+2581 in a text decodes to a blank; null doc_id passes through; repeated rows get a row each; an empty table gives no rows; other columns are ignored.
@@ -30,7 +30,7 @@ from . import common
 
 MODEL = os.environ.get("MARGINALIA_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 BLANK = "▁"
-CACHE, CACHED_CHARS = 200_000, 32
+CACHE, CACHED_CHARS = 300_000, 32
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MODEL_BYTES = 64 << 20
 
@@ -133,6 +133,7 @@ class Tokenizer:
         self.unknown_score = min(used, default=0.0) - 10.0
         self.tied = _tied(model)
         self.remembered: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.valid: dict[int, bool] = {}
         self.raw = {i: b for b, i in model.bytes.items()}
         self.shown = ["" if k == CONTROL else " ⁇ " if k == UNKNOWN else p.replace(BLANK, " ") for p, _, k in model.pieces]
@@ -149,10 +150,13 @@ class Tokenizer:
         for part in self.cut.findall(whole):
             ids = remembered.get(part)
             if ids is None:
-                ids = self._encode_part(part)
+                ids = self.older.get(part)
+                if ids is None:
+                    ids = self._encode_part(part)
                 if len(part) <= CACHED_CHARS:
                     if len(remembered) >= CACHE:
-                        remembered.clear()
+                        self.older, self.remembered = remembered, {}
+                        remembered = self.remembered
                     remembered[part] = ids
             # a run of unknown characters is one id, across stretches too
             out.extend(ids[1:] if out and ids[0] == out[-1] == unknown else ids)
