@@ -151,13 +151,13 @@ def verify(spark: SparkSession, pairs: DataFrame, docs: DataFrame, width: int) -
 
 
 def _across(lists: DataFrame, everything: bool) -> DataFrame:
-    """Candidates ``a, b`` across components within blocks of a list; one row with null ends for each candidate left for later.
+    """Candidates ``a, b`` across components within blocks of a list; a row with null ends where some are left for later.
 
-    Input rows: ``token, left, right, side, doc_id, n, comp, bits``, where (left, right) names a pair of blocks of the list. Of the
-    candidates of a document in another component only the nearest is given, unless ``everything``."""
+    Input rows: ``token, left, right, side, doc_id, n, comp, bits``, where (left, right) names a pair of blocks of the list. Unless
+    ``everything``, only a spanning forest of the nearest candidates over components is given: one fewer than components at most."""
 
     def group(rows):
-        found, later = set(), 0
+        found = []
         order = sorted(rows, key=lambda r: (r[1], r[0]))  # by size, then id
         n = np.array([r[1] for r in order])
         comp = np.array([r[2] for r in order])
@@ -174,16 +174,26 @@ def _across(lists: DataFrame, everything: bool) -> DataFrame:
             if not len(at):
                 continue
             far = np.bitwise_count(words[at] ^ words[i]).sum(1)
-            near: dict[int, list] = {}
             for j in at[7 * far <= n[at] + row[1]].tolist():
                 d = _popcount_differs(row[3], order[j][3])
                 if 7 * d <= row[1] + order[j][1]:
-                    near.setdefault(int(comp[j]), []).append((d, order[j][0]))
-            for options in near.values():
-                taken = options if everything else [min(options)]
-                later += len(options) - len(taken)
-                found.update((min(row[0], x), max(row[0], x)) for _, x in taken)
-        return found, later
+                    found.append((d, min(row[0], order[j][0]), max(row[0], order[j][0]), row[2], order[j][2]))
+        if everything:
+            return {f[1:3] for f in found}, 0
+        parent: dict[int, int] = {}
+
+        def top(x):
+            while x in parent:
+                x = parent[x]
+            return x
+
+        taken = set()
+        for _, a, b, left, right in sorted(found):
+            left, right = top(left), top(right)
+            if left != right:
+                parent[left] = right
+                taken.add((a, b))
+        return taken, len(found) - len(taken)
 
     def run(batches):
         key, rows = None, []
@@ -273,7 +283,7 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
             found = found.unionByName(links)
         if everything or not later:
             break
-        everything = not merged  # no progress by the nearest: give all
+        everything = True  # what the forest has not joined is compared in full
     if merged:
         comp = common.components(spark, found)
     return (
