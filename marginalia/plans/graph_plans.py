@@ -128,11 +128,11 @@ def _(spark, d):
 
 # ---- code: one small module for each part, which imports the next one
 
-_SOURCES = F.expr("concat('from .m', (p_partkey + 1) % 50, ' import run as go\nimport os\n\nclass Box:\n    def open(self):\n        return go(', p_size, ')\n\ndef run(x):\n    return x\n')")
+_SOURCES = "concat('from .m', (p_partkey + 1) % 50, ' import run as go\nimport os\n\nclass Box:\n    def open(self):\n        return go(', p_size, ')\n\ndef run(x):\n    return x\n')"
 
 
 def _modules(spark, d):
-    return base.table(spark, d, "part").where("p_partkey < 50").select(F.concat(F.lit("pkg/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), _SOURCES.alias("source"))
+    return base.table(spark, d, "part").where("p_partkey < 50").select(F.concat(F.lit("pkg/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.expr(_SOURCES).alias("source"))
 
 
 _M = "m AS (SELECT p_partkey AS i, 'pkg/m' || p_partkey || '.py' AS path FROM part WHERE p_partkey < 50)"
