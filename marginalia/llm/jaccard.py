@@ -71,7 +71,7 @@ def sets(docs: DataFrame, width: int = 5, full: bool = False) -> DataFrame:
                     names.append("shingles")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(common.lean(run), schema)
 
 
 def light_keys(a: int, boundary: int) -> int:
@@ -110,7 +110,7 @@ def light_links(small: DataFrame, boundary: int) -> DataFrame:
                         out += [(min(n, b), max(n, b), x, y, doc, n) for x, y in zip(k1.view(np.int64).tolist(), k2.view(np.int64).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)], schema=schema)
 
-    keys = small.select("doc_id", "n", "shingles").mapInArrow(run, "lo long, hi long, k1 long, k2 long, doc_id long, n long")
+    keys = small.select("doc_id", "n", "shingles").mapInArrow(common.lean(run), "lo long, hi long, k1 long, k2 long, doc_id long, n long")
     names = ["lo", "hi", "k1", "k2"]
     # sets of size lo all link with those of size hi, so one edge to the smallest id joins them
     groups = keys.groupBy(names).agg(F.min("doc_id").alias("head"), F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most")).where("c > 1 and least = lo and most = hi")
@@ -134,7 +134,7 @@ def _may_link(pairs: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sized = pairs.where("4 * na >= 3 * nb and 4 * nb >= 3 * na")
-    return sized.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    return sized.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(common.lean(run), "a long, b long")
 
 
 def verify(spark: SparkSession, pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -216,7 +216,7 @@ def _across(lists: DataFrame, everything: bool) -> DataFrame:
 
     names = ["token", "left", "right"]
     dealt = lists.repartition(*names).sortWithinPartitions(*names)
-    return dealt.select("token", "left", "right", "side", "doc_id", "n", "comp", "bits").mapInArrow(run, "a long, b long")
+    return dealt.select("token", "left", "right", "side", "doc_id", "n", "comp", "bits").mapInArrow(common.lean(run), "a long, b long")
 
 
 def _blocks(lists: DataFrame) -> DataFrame:

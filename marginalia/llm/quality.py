@@ -96,7 +96,7 @@ def patterns(docs: DataFrame) -> DataFrame:
             out = [None if (m := measures(x.as_py() or "")) is None else _pattern(votes(m)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int32())], names=["doc_id", "pattern"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, pattern int")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(common.lean(run), "doc_id long, pattern int")
 
 
 def label_model(counts: dict[int, int], rounds: int = 200) -> tuple[dict[int, float], np.ndarray]:
@@ -177,7 +177,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, di
         rows = [(t, held.value.get(_pattern(votes(m)), 0.5)) for b in batches for t in b.column(0).to_pylist() if (m := measures(t)) is not None]
         yield pa.RecordBatch.from_arrays([pa.array([fit(rows).tobytes()], pa.binary())], names=["weights"])
 
-    weights = picked.select("text").coalesce(1).mapInArrow(run, "weights binary").collect()
+    weights = picked.select("text").coalesce(1).mapInArrow(common.lean(run), "weights binary").collect()
     return (np.frombuffer(weights[0]["weights"]) if weights else np.zeros(FEATURES + 1)), posterior, accuracy
 
 
@@ -202,7 +202,7 @@ def score(docs: DataFrame, weights: np.ndarray, posterior: dict[int, float], thr
             keep = [q >= threshold and q > 0 for q in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weak, pa.float64()), pa.array(out, pa.float64()), pa.array(keep, pa.bool_())], names=["doc_id", "weak_label", "quality", "keep"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, weak_label double, quality double, keep boolean")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(common.lean(run), "doc_id long, weak_label double, quality double, keep boolean")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
                 keep.append(bool(1 / (1 + np.exp(-np.clip(w[at] @ value + w[-1], -30, 30))) >= THRESHOLD))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
