@@ -7,7 +7,7 @@ only if it and the last piece of the path to its start are what merging their jo
 exactly one piece at each position and yields the ids of the merges.
 
 No piece of the usual models continues behind a blank that follows another character, so texts are cut there and the results
-of short stretches are remembered (two generations of ``CACHE`` at most a worker; what is still in use moves on to the next); a model with such pieces is read uncut.
+of short stretches are remembered (two generations of ``CACHE`` at most a task; what is still in use moves on to the next); a model with such pieces is read uncut.
 
 Defined results: null or empty text: no ids, text ``""`` (null stays null); characters without a piece: their bytes, or the unknown id, one for a
 run; U+2581 in a text decodes to a blank; null doc_id passes through; repeated rows get a row each; an empty table gives no rows; other columns are ignored.
@@ -291,17 +291,6 @@ def _tied(model: Model) -> re.Pattern | None:
     return re.compile("|".join(map(re.escape, sorted(tied, key=lambda p: (len(p), p)))))
 
 
-_tokenizers: dict[int, Tokenizer] = {}
-
-
-def _tokenizer(data: bytes) -> Tokenizer:
-    key = hash(data)
-    if key not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[key] = Tokenizer(Model(data))
-    return _tokenizers[key]
-
-
 def load_model(spark: SparkSession, path: str = MODEL):
     """The model's bytes, read by the driver and broadcast; models over MODEL_BYTES are refused."""
     with open(path, "rb") as file:
@@ -316,7 +305,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     held = load_model(docs.sparkSession, path)
 
     def run(batches):
-        tokenizer = _tokenizer(held.value)
+        tokenizer = Tokenizer(Model(held.value))  # of this task alone: a worker that waits for its next task holds nothing
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for at in range(0, batch.num_rows, 200):
@@ -330,7 +319,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([ids.slice(at, 200), lists, pa.array(same, pa.bool_())], names=["doc_id", "ids", "restored"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, "doc_id long, ids array<int>, restored boolean")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(common.lean(run), "doc_id long, ids array<int>, restored boolean")
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -338,12 +327,12 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     held = load_model(encoded.sparkSession, path)
 
     def run(batches):
-        tokenizer = _tokenizer(held.value)
+        tokenizer = Tokenizer(Model(held.value))  # of this task alone: a worker that waits for its next task holds nothing
         for batch in batches:
             texts = [None if x is None else tokenizer.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(encoded["doc_id"].cast("long").alias("doc_id"), encoded["ids"]).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(encoded["doc_id"].cast("long").alias("doc_id"), encoded["ids"]).mapInArrow(common.lean(run), "doc_id long, text string")
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
