@@ -168,7 +168,14 @@ class Tokenizer:
         elif self.tied and self.tied.search(part):
             path = self._merged(part)
         else:
-            path = self._merge_path(part)
+            starts, last = self._merge_path(part)
+            ids, end = [], len(part)
+            while end and last[end] >= 0:
+                ids.append(last[end])
+                end = starts[end]
+            if not end:
+                return tuple(ids[::-1])
+            path = self._walk(part, list(zip(last, starts, strict=True)))
         out: list[int] = []
         unknown = False
         for piece, char in path:
@@ -199,25 +206,29 @@ class Tokenizer:
                 best[end], back[end] = best[end - 1] + self.unknown_score, (-1, end - 1)
         return self._walk(part, back)
 
-    def _merge_path(self, part: str) -> list[tuple[int, str]]:
-        """The same pass, relaxing by compatibility with the last piece of the path to the start."""
-        auto, back, node = self.automaton, [(-2, 0)] * (len(part) + 1), 0
+    def _merge_path(self, part: str) -> tuple[list[int], list[int]]:
+        """The same pass, relaxing by compatibility with the last piece of the path to the start: start and piece by end."""
+        auto, node, end = self.automaton, 0, 0
+        starts, last = [0], [-2]
         goto, word, output, length, valid = auto.goto, auto.word, auto.output, auto.length, self.valid
-        for end, c in enumerate(part, 1):
+        for c in part:
+            end += 1
             after = goto[node].get(c)
             node = auto.step(node, c) if after is None else after
             at = node if word[node] >= 0 else output[node]
             while at:
                 start, piece = end - length[at], word[at]
-                left = back[start][0]
+                left = last[start]
                 fits = valid.get((left + 2) << 32 | piece)
                 if self._fits(left, piece) if fits is None else fits:
-                    back[end] = piece, start
+                    last.append(piece)
+                    starts.append(start)
                     break
                 at = output[at]
             else:
-                back[end] = -1, end - 1
-        return self._walk(part, back)
+                last.append(-1)
+                starts.append(end - 1)
+        return starts, last
 
     def _walk(self, part: str, back: list[tuple[int, int]]) -> list[tuple[int, str]]:
         path, end = [], len(part)
@@ -244,16 +255,21 @@ class Tokenizer:
 
     def _merged(self, part: str) -> list[tuple[int, str]]:
         """Merging by priority, the leftmost of equals first."""
-        ids, score, symbols = self.model.ids, self.score, list(part)
-        while len(symbols) > 1:
-            best, at = float("-inf"), -1
-            for i in range(len(symbols) - 1):
-                piece = ids.get(symbols[i] + symbols[i + 1])
-                if piece is not None and (score[piece] > best or at < 0):
-                    best, at = score[piece], i
-            if at < 0:
-                break
+        ids, score, symbols, none = self.model.ids, self.score, list(part), float("-inf")
+
+        def rank(i: int) -> float:
+            piece = ids.get(symbols[i] + symbols[i + 1])
+            return none if piece is None else score[piece]
+
+        ranks = [rank(i) for i in range(len(symbols) - 1)]
+        while ranks and (best := max(ranks)) != none:
+            at = ranks.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank(at - 1)
+            if at < len(ranks):
+                ranks[at] = rank(at)
         return [(ids.get(s, -1), s) for s in symbols]
 
     # ---- decoding
@@ -288,7 +304,8 @@ def _tied(model: Model) -> re.Pattern | None:
         seen[s] = piece
     if not tied:
         return None
-    return re.compile("|".join(map(re.escape, sorted(tied, key=lambda p: (len(p), p)))))
+    least = [p for p in tied if not any(p[a:b] in tied for a in range(len(p)) for b in range(a + 2, len(p) + 1) if b - a < len(p))]
+    return re.compile("|".join(map(re.escape, sorted(least))))
 
 
 def load_model(spark: SparkSession, path: str = MODEL):
