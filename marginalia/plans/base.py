@@ -61,8 +61,16 @@ bash AS (SELECT * FROM evs WHERE kind = 'bash')"""
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nation to nation: a customer's nation to the nation of each supplier of its orders, thinned by order date; an edge bag ``src, dst``."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0")
+    """The edges of every 97th order key, as EDGES_SQL has them."""
+    return _nation_edges(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0"))
+
+
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nation_edges(spark, sf_dir, table(spark, sf_dir, "orders"))
+
+
+def _nation_edges(spark: SparkSession, sf_dir: str, o: DataFrame) -> DataFrame:
+    """Nation to nation: a customer's nation to the nation of each supplier of its orders; an edge bag ``src, dst``."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
@@ -76,11 +84,18 @@ edges AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT)
 
 
 def doc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bag ``from_doc, to_doc``: each line of an order links its part to its supplier's number."""
+    """Bag ``from_doc, to_doc`` of every 50th order key among 200 documents, as DOC_EDGES_SQL has it."""
     li = table(spark, sf_dir, "lineitem")
     return li.where("l_orderkey % 50 = 0").select(F.pmod("l_partkey", F.lit(200)).alias("from_doc"), F.pmod(F.col("l_suppkey") * 7, F.lit(200)).alias("to_doc")).where("from_doc <> to_doc")
 
 
+def all_doc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bag ``from_doc, to_doc``: each line of an order links its part to its supplier's number, both folded into the number of documents."""
+    n = F.lit(max(1, table(spark, sf_dir, "documents").count()))
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.pmod("l_partkey", n).alias("from_doc"), F.pmod(F.col("l_suppkey") * 7, n).alias("to_doc")).where("from_doc <> to_doc")
+
+
 DOC_EDGES_SQL = "links AS (SELECT l_partkey % 200 AS from_doc, (l_suppkey * 7) % 200 AS to_doc FROM lineitem WHERE l_orderkey % 50 = 0 AND l_partkey % 200 <> (l_suppkey * 7) % 200)"
 
 

@@ -83,7 +83,7 @@ def _(spark, d):
 @query("c14_t6_repo_map")
 def _(spark, d):
     symbols = base.table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("node"), F.col("c_name").alias("name"), F.col("c_custkey").alias("start_line"))
-    return graph.repo_map(_nodes(spark, d), base.edges(spark, d), symbols, None, 400)
+    return graph.repo_map(_nodes(spark, d), base.all_edges(spark, d), symbols, None, 400)
 
 
 @query("c16_t9_knowledge_graph", f"""WITH {base.DOCS_SQL.strip()}, {base.DOC_EDGES_SQL}, e AS (SELECT DISTINCT * FROM links), x AS (SELECT d.doc_id, path, ring, (SELECT count(*) FROM e WHERE to_doc = d.doc_id) AS inbound, (SELECT count(*) FROM e WHERE from_doc = d.doc_id) AS outbound FROM docs d)
@@ -95,7 +95,7 @@ def _(spark, d):
 
 @query("c16_focused_graph")
 def _(spark, d):
-    nodes, edges = graph.knowledge_graph(base.docs(spark, d).select("doc_id", "path", "ring"), base.doc_edges(spark, d), "d0")
+    nodes, edges = graph.knowledge_graph(base.docs(spark, d).select("doc_id", "path", "ring"), base.all_doc_edges(spark, d), "d0")
     return edges
 
 
