@@ -218,7 +218,7 @@ def _(spark, d):
 
 @query("v15_embed_batches")
 def _(spark, d):
-    b = base.blocks(spark, d).where("line = 1").select("hash", "text").dropDuplicates(["hash"])
+    b = base.blocks(spark, d).select("hash", "text").dropDuplicates(["hash"])
     return vectors.embed_batches(b, lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]).select("hash", F.size("v").alias("dim"))
 
 

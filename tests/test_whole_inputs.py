@@ -28,3 +28,10 @@ def test_focused_graph_links_every_document(spark, tmp_path):
     spark.createDataFrame([(1, 0, 35), (3, 245, 280)], "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {(r["from_doc"], r["to_doc"]) for r in registry.QUERIES["c16_focused_graph"](spark, str(tmp_path)).collect()}
     assert got == {(0, 245), (245, 160)}
+
+
+def test_embed_batches_takes_every_line(spark, data):
+    from marginalia.plans import base
+
+    got = {r["hash"] for r in registry.QUERIES["v15_embed_batches"](spark, data).collect()}
+    assert got == {r["hash"] for r in base.blocks(spark, data).select("hash").distinct().collect()}
