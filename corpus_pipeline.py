@@ -39,8 +39,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: documents are sampled towards the target weights of sources, languages and topics."""
-    return _documents(mixing.mix(_documents(docs)))
+    """Operator 3: documents are dropped and repeated to the target weights of sources, languages and topics."""
+    return _documents(mixing.copies(mixing.mix(_documents(docs))))
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,6 +125,15 @@ def mix(docs: DataFrame, languages: dict[str, float] | None = None, topics: dict
     return kept.select(*own, F.col("_kind").alias("mix_topic"), F.col("_tokens").alias("mix_tokens"), F.col("_p").alias("mix_p"), F.col("_weight").alias("mix_weight"))
 
 
+def copies(mixed: DataFrame, seed: int = 4) -> DataFrame:
+    """The rows of ``mix`` as often as ``mix_weight`` says: its whole part, and once more with the probability of the rest, drawn by doc_id.
+
+    With the rows that ``mix`` drops, token masses then meet the targets in expectation and their total stays that of the input."""
+    weight = F.col("mix_weight")
+    times = F.floor(weight) + F.when(draw(F.col("doc_id"), seed) < weight - F.floor(weight), 1).otherwise(0)
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("_copy")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return mix(docs, keep=0.8).select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("mix_p", 4).alias("p"), F.round("mix_weight", 4).alias("weight"))

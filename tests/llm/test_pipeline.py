@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marginalia.llm import common, jaccard
+from marginalia.llm import common, jaccard, mixing
 
 
 def test_stages(spark, data):
@@ -28,3 +28,19 @@ def test_stages(spark, data):
 def test_run_of_an_empty_table(spark, data, tmp_path):
     common.table(spark, data, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixing_stage_reaches_the_targets(spark, data):
+    docs = common.table(spark, data, "documents")
+    many = docs.withColumn("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.col("doc_id") + i * 1_000_000)))
+    many, _ = common.materialize(spark, many, "test-many")
+    mixed, _ = common.materialize(spark, corpus_pipeline.mixing_stage(spark, many, data), "test-mixed")
+
+    def shares(df, col):
+        total = df.groupBy(col.alias("k")).agg(F.sum(mixing.token_count(F.col("text"))).alias("n")).collect()
+        return {r["k"]: r["n"] / sum(x["n"] for x in total) for r in total}
+
+    topics, languages = shares(mixed, mixing.topic_of(F.col("text"))), shares(mixed, F.col("lang"))
+    natural = shares(many, mixing.topic_of(F.col("text")))
+    assert all(abs(topics[k] - v) < 0.02 for k, v in mixing.TOPICS.items()), (natural, topics)
+    assert all(abs(languages[k] - v) < 0.02 for k, v in mixing.LANGUAGES.items()), languages
