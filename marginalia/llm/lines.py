@@ -5,8 +5,8 @@ distinct per key; a key that reaches ``min_docs`` loses its lines everywhere but
 documents are put together again by line position.
 
 Defined results: null or empty text: one empty line, kept as it is (null text is returned null when nothing is dropped);
-repeated rows with one doc_id are one document to the count and each row is filtered alike; rows with null doc_id never
-count as documents and lose every dropped key; an empty table gives no rows; other columns pass through untouched.
+rows with one doc_id are one document to the count and each row loses its own lines, by its own positions; rows with null
+doc_id never count as documents and lose every dropped key; an empty table gives no rows; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -32,9 +32,15 @@ def _hashes(lines, min_chars: int):
     return F.transform(long, lambda x: F.struct(F.xxhash64(x["key"]).alias("h1"), F.xxhash64(F.lit(0x5EED), x["key"]).alias("h2"), x["pos"].alias("pos")))
 
 
+def _row_key() -> list:
+    """The identity of a row: 128 bits of its doc_id and text. It survives recomputation; rows equal in both lose the same lines."""
+    row = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))]
+    return [F.xxhash64(F.col("doc_id").isNull(), *row).alias("_r1"), F.xxhash64(F.lit(0x5EED), F.col("doc_id").isNull(), *row).alias("_r2")]
+
+
 def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """``doc_id, drops``: the positions of the lines that each document loses; documents that lose none have no row."""
-    lines = docs.select("doc_id", F.explode(_hashes(_lines(F.col("text")), min_chars)).alias("l")).select("doc_id", "l.*")
+    """``_r1, _r2, drops``: the positions of the lines that each row loses; rows that lose none are not listed."""
+    lines = docs.select("doc_id", *_row_key(), F.explode(_hashes(_lines(F.col("text")), min_chars)).alias("l")).select("doc_id", "_r1", "_r2", "l.*")
     # keys and ids only: distinct (key, document), then partial counts per key before the last shuffle
     common_keys = (
         lines.where("doc_id is not null").select("h1", "h2", "doc_id").distinct()
@@ -42,13 +48,13 @@ def dropped_positions(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
         .where(F.col("n") >= min_docs).drop("n")
     )
     hit = lines.join(common_keys, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("holder")))
-    return hit.groupBy("doc_id").agg(F.collect_set("pos").alias("drops"))
+    return hit.groupBy("_r1", "_r2").agg(F.collect_set("pos").alias("drops"))
 
 
 def drop_common_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``docs`` with ``text`` reassembled from the lines that stay, plus ``n_lines`` and ``n_dropped``."""
-    drops = dropped_positions(docs, min_chars, min_docs).select(F.col("doc_id").alias("_drop_id"), F.col("drops").alias("_drops"))
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_drop_id"]), "left")
+    drops = dropped_positions(docs, min_chars, min_docs).withColumnRenamed("drops", "_drops")
+    joined = docs.select("*", *_row_key()).join(drops, ["_r1", "_r2"], "left")
     lines = _lines(F.col("text"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drops"))  # hashed, keeps the order
     text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))

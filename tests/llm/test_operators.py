@@ -93,6 +93,14 @@ def test_line_dedup(spark):
     assert sorted((r["doc_id"] is None, r["n_dropped"]) for r in null_id.collect()) == [(False, 0), (False, 1), (False, 1), (True, 1)]
 
 
+def test_line_dedup_keeps_rows_apart(spark):
+    line = "A line that many documents do share"
+    alone = "a line that stands in one row only, number"
+    texts = [(1, line), (2, line), (3, line), (None, f"{line}\nx"), (None, f"{alone} 1\n{line}"), (None, f"{alone} 2"), (None, f"{alone} 2"), (2, f"{alone} 3\n{line}"), (3, f"{alone} 4\n{line}")]
+    got = sorted(((r["doc_id"] or 0, r["text"], r["n_lines"], r["n_dropped"]) for r in lines.drop_common_lines(docs(spark, texts, True)).collect()))
+    assert got == sorted([(1, "", 1, 1), (2, "", 1, 1), (3, line, 1, 0), (0, "x", 2, 1), (0, f"{alone} 1", 2, 1), *[(0, f"{alone} 2", 1, 0)] * 2, (2, f"{alone} 3", 2, 1), (3, f"{alone} 4\n{line}", 2, 0)])
+
+
 # ---- 3
 
 
