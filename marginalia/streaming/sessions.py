@@ -1,11 +1,11 @@
-"""Streams: incremental refresh of a tree, session state, cumulative counters, traps per micro-batch."""
+"""Streams: incremental refresh of a tree, session state, cumulative counters, traps over all batches so far."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -89,10 +89,20 @@ def counter_deltas(rows: DataFrame, idle_ms: int | None = None) -> DataFrame:
 
 
 def traps_per_batch(events: DataFrame, sink: str, checkpoint: str):
-    """The three traps over each micro-batch; candidates have ids of their content, so a repeated batch adds nothing new."""
+    """The three traps over all batches so far; each batch writes the candidates that it adds.
+
+    What later traps can need of earlier batches is kept beside the sink, in one of two folders by turns: a repeated batch reads that of its
+    predecessor again and overwrites its own. Events of a session arrive in the order of pos."""
 
     def step(rows: DataFrame, batch: int) -> None:
-        out = traps(rows)
+        every = rows
+        if batch:
+            known = rows.sparkSession.read.schema(rows.schema).parquet(f"{sink}-kept/{(batch - 1) % 2}")
+            every = known.unionByName(rows)
+        remembered(every).write.mode("overwrite").parquet(f"{sink}-kept/{batch % 2}")
+        out = traps(every)
+        if batch:
+            out = out.join(traps(known).select("id"), "id", "left_anti")
         out.write.mode("overwrite").parquet(f"{sink}/batch={batch}")
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -108,6 +118,21 @@ def traps(events: DataFrame) -> DataFrame:
     return every.groupBy("reason", "key").agg(F.min("ts").alias("ts")).select(logs.candidate_id(F.col("reason"), F.col("key")).alias("id"), "reason", "key", "ts")
 
 
+def remembered(events: DataFrame, writes: int = 10) -> DataFrame:
+    """The events that give the same traps as all of them, now and with any that follow: of each norm and session the first and last failure
+    and the first success after the first failure; of each file and session as many writes as make it hot alone."""
+    row = F.struct("pos", *(c for c in events.columns if c != "pos"))
+    back = [F.col("e")[c].alias(c) for c in events.columns]
+    bash = events.where("kind = 'bash'")
+    bounds = bash.where("failed").groupBy("norm", "session").agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    failures = bounds.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("e")).select(*back)
+    since = bounds.select("norm", "session", F.col("first.pos").alias("_since"))
+    fixes = bash.where("not failed").join(since, ["norm", "session"]).where("pos > _since").groupBy("norm", "session").agg(F.min(row).alias("e")).select(*back)
+    nth = F.row_number().over(Window.partitionBy("file_path", "session").orderBy("pos"))
+    written = events.where("kind = 'write' and ring between 0 and 3").withColumn("_n", nth).where(F.col("_n") <= writes).drop("_n")
+    return failures.unionByName(fixes).unionByName(written.select(*events.columns))
+
+
 def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts by event time window with a watermark: rows later than ``late`` are dropped, finished windows leave the state."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
