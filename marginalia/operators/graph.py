@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +32,10 @@ def neighbours(edges: DataFrame, direction: str) -> DataFrame:
     return chosen.where("node <> next").distinct()
 
 
-def bfs(edges: DataFrame, start, depth: int, direction: str = "out") -> DataFrame:
-    """``node, level, ord, via`` of every node within ``depth`` steps.
+def bfs(edges: DataFrame, start, depth: int | None, direction: str = "out", enough: int | None = None) -> DataFrame:
+    """``node, level, ord, via`` of every node within ``depth`` steps; without a depth, of all that can be reached.
+
+    With ``enough``, the level that reaches so many nodes is the last one.
 
     Within a level nodes are in queue order: by the place of their first discoverer, then by name; ``via`` is that discoverer.
     A level is one join of the frontier with the edges; the frontier's places are ranks of its own rows only."""
@@ -41,12 +44,17 @@ def bfs(edges: DataFrame, start, depth: int, direction: str = "out") -> DataFram
     kind = dict(steps.dtypes)["node"]
     seen = spark.createDataFrame([(start, 0, 1, None)], f"node {kind}, level int, ord long, via {kind}")
     frontier = seen
-    for level in range(1, depth + 1):
+    total = 1
+    for level in count(1) if depth is None else range(1, depth + 1):
+        if enough is not None and total >= enough:
+            break
         found = frontier.join(steps, "node").join(seen.select(F.col("node").alias("next")), "next", "left_anti")
         first = found.groupBy("next").agg(F.min(F.struct("ord", "node")).alias("m")).select(F.col("next").alias("node"), F.lit(level).alias("level"), F.col("m.ord").alias("_o"), F.col("m.node").alias("via"))
         frontier = _cut(first.withColumn("ord", F.row_number().over(Window.orderBy("_o", "node")).cast("long")).select("node", "level", "ord", "via"))
-        if frontier.isEmpty():
+        new = frontier.count()
+        if not new:
             break
+        total += new
         seen = _cut(seen.unionByName(frontier))
     return seen
 
@@ -166,7 +174,9 @@ def knowledge_graph(docs: DataFrame, edges: DataFrame, focus: str | None, limit:
         if len(scored) == 1 or (len(scored) == 2 and scored[0]["s"] > scored[1]["s"]):
             chosen = scored[0]["doc_id"]
     if chosen is not None:
-        levels = bfs(edges.select(F.col("from_doc").alias("src"), F.col("to_doc").alias("dst")), chosen, 4, "both").select(F.col("node").alias("doc_id"), "level")
+        known = docs.select("doc_id")
+        inner = edges.join(known.withColumnRenamed("doc_id", "from_doc"), "from_doc", "left_semi").join(known.withColumnRenamed("doc_id", "to_doc"), "to_doc", "left_semi")
+        levels = bfs(inner.select(F.col("from_doc").alias("src"), F.col("to_doc").alias("dst")), chosen, None, "both", limit).select(F.col("node").alias("doc_id"), "level")
         rows = rows.join(levels, "doc_id")
     else:
         rows = rows.withColumn("level", F.lit(0))

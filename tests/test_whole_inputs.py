@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from marginalia.operators import graph
 from marginalia.plans import registry
 from tests.compare import connect
 
@@ -35,3 +36,11 @@ def test_embed_batches_takes_every_line(spark, data):
 
     got = {r["hash"] for r in registry.QUERIES["v15_embed_batches"](spark, data).collect()}
     assert got == {r["hash"] for r in base.blocks(spark, data).select("hash").distinct().collect()}
+
+
+def test_focused_graph_has_no_depth_bound(spark):
+    docs = spark.createDataFrame([(i, f"src/d{i}.md", 1) for i in range(12)], "doc_id long, path string, ring int")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(0, 99), (99, 10)], "from_doc long, to_doc long")  # 99 is no document
+    nodes = {r["doc_id"]: r["level"] for r in graph.knowledge_graph(docs, chain, "d0", 40)[0].collect()}
+    assert nodes == {i: i for i in range(10)}
+    assert {r["doc_id"] for r in graph.knowledge_graph(docs, chain, "d0", 7)[0].collect()} == set(range(7))
