@@ -38,11 +38,12 @@ def calibrated(threshold: float, projections: int) -> tuple[float, int]:
 
     Unit vectors of cosine ``threshold`` or more differ by a vector of squared length ``2 - 2 * threshold`` at most. Along
     orthonormal directions the squared differences sum to no more than that, so at most ``(2 - 2 * threshold) / window**2``
-    of them exceed the window: a pair that links collides in all the other projections. Six misses are allowed.
+    of them exceed the window: a pair that links collides in all the other projections. Six misses are allowed; up to six projections demand no collision, and every pair goes to
+    the exact check.
     """
     square = 2 - 2 * threshold
     window = sqrt(square / 6.25)
-    return window + 1e-7, max(1, projections - floor(square / window**2))
+    return window + 1e-7, max(0, projections - floor(square / window**2))
 
 
 def _linked_block(a: np.ndarray, b: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:

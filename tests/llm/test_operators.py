@@ -204,6 +204,17 @@ def test_collision_count_never_misses():
     assert {x for x, y in zip(i, j, strict=True) if x == y} == set(np.flatnonzero(cosine >= 0.98)) and 20 < (cosine >= 0.98).sum() < 200
 
 
+@pytest.mark.parametrize("dim", range(1, 8))
+def test_collision_count_never_misses_in_few_dimensions(dim):
+    rng = np.random.default_rng(6)
+    a = rng.standard_normal((4000, dim))
+    b = a / np.linalg.norm(a, axis=1)[:, None]
+    b = b + rng.standard_normal((4000, dim)) * 0.12 / dim**0.5
+    linked = (a * b).sum(1) / np.linalg.norm(a, axis=1) / np.linalg.norm(b, axis=1) >= 0.98
+    found = [len(vectors._linked_block(a[i : i + 1], b[i : i + 1], False, 0.98)[0]) for i in range(4000)]
+    assert linked.sum() > 500 and [bool(n) for n in found] == linked.tolist()
+
+
 def test_top_k_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(np.float32(x)) for x in np.round(rng.standard_normal(12), 1)], 0) for i in range(130)] + [(131, None, 0), (140, [float("inf")] * 12, 0), (160, [1.0] * 5, 0)]
