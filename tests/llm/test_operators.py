@@ -139,11 +139,46 @@ def test_pieces_equal_library(spark, data):
     assert pieces.encode(docs(spark, [])).count() == 0
 
 
+def test_pieces_of_hard_texts_equal_library():
+    import sentencepiece
+
+    lib, own, rng = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Tokenizer(pieces.Model(open(pieces.MODEL, "rb").read())), random.Random(4)
+    letters = ["".join(rng.choice("aab abcdeehsst t\n-.AÜé中0000") for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    joined = ["".join(rng.choice(own.text[300:]).replace(pieces.BLANK, " ") for _ in range(rng.randint(1, 30))) for _ in range(100)]
+    runs = [" " * 8000, " x" * 300 + " " * 77, "a" * 5000, "ab" * 3000, "=" * 3001, "\n" * 999, "中" * 100, "0" * 1000, ("   " * 7 + "word ") * 500]
+    assert all(list(own.encode(x)) == lib.encode(x) for x in (*letters, *joined, *runs))
+
+
+def test_pieces_of_a_megabyte_of_blanks():
+    import time
+
+    own = pieces.Tokenizer(pieces.Model(open(pieces.MODEL, "rb").read()))
+    began = time.process_time()
+    for text in (" " * 1_000_000, "  ab" * 250_000, "x" * 1_000_000):
+        assert own.decode(own.encode(text)) == text
+    assert time.process_time() - began < 120
+
+
+def test_pair_fits_as_merging_says():
+    """Random merge lists: pieces made of earlier ones, in order of priority."""
+    rng = random.Random(5)
+    for _ in range(30):
+        score = {c: 0.0 for c in "abc"}
+        for k in range(25):
+            a, b = rng.choice(list(score)), rng.choice(list(score))
+            if len(a + b) <= 8 and a + b not in score:
+                score[a + b] = -1.0 - k
+        merges = pieces.Merges(score)
+        for left, right in itertools.product(merges.cut, repeat=2):
+            assert merges.fit(left, right) == (merges.merge(left + right)[0] == [left, right])
+
+
 def test_unigram_viterbi_is_best():
     model = object.__new__(pieces.Model)
     words = {"a": -1.0, "b": -2.0, "ab": -2.5, "ba": -2.2, "aba": -4.9, "▁": -0.5, "▁a": -1.2}
     model.pieces = [("<unk>", 0.0, 2), *((w, s, 1) for w, s in words.items())]
-    model.bpe = model.byte_fallback = model.crossing = False
+    model.merges, model.bpe = None, False
+    model.byte_fallback = model.crossing = False
     model.prefix, model.unknown, model.bytes = True, 0, {}
     model.ids = {p: i for i, (p, _, k) in enumerate(model.pieces) if k == 1}
     own = pieces.Tokenizer(model)
