@@ -7,8 +7,9 @@ Two documents link when ``100 * |A & B| >= 75 * |A | B|``. Sizes a and b then ne
   needs. Two such sets share a subset if and only if they link, so nothing is left to verify.
 * Heavy: larger sets, and the sets that can link with them, post their signature to inverted lists: the smallest hashes, as many as
   guarantee a common one (``n - ceil(0.75 n) + 1``), but ``SIGNATURE`` at most. Where that bound cuts (more than 128
-  shingles), a pair at 0.75 has no common posting with a probability of 0.25 ** 32 < 1e-19, far below that of a clash
-  of 64-bit hashes. Every candidate is verified on whole sets.
+  shingles), a pair at 0.75 has no common posting with a probability of 0.25 ** 32 < 1e-19: the smallest hash of the union of two sets
+  lies in both with the probability of their similarity, and so do the next 31. Every candidate is verified on whole sets.
+* A shingle is a 128-bit hash of its words; equality of sets, subsets and verification use all of it.
 * The boundary is the one of least cost: subsets enumerated below it plus postings and expected list lengths above.
 
 The result is components, so a list need not emit all its pairs. First each list compares with its leader (the smallest
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .shingles import fold, mix, parity_bits, shingle_sets, slices
+from .shingles import fold, mix, overlap, parity_bits, shingle_sets, slices
 
 SIGNATURE = 32
 LARGEST_LIGHT = 12
@@ -45,8 +46,8 @@ def partner_sizes(a: int) -> range:
 
 
 def sets(docs: DataFrame, width: int = 5, full: bool = False) -> DataFrame:
-    """``doc_id, n, h1, h2, sig, bits`` of every row, or with ``full`` also ``shingles``, the whole sorted set."""
-    schema = "doc_id long, n long, h1 long, h2 long, sig array<long>, bits binary" + ", shingles array<long>" * full
+    """``doc_id, n, h1, h2, sig, bits`` of every row, or with ``full`` also ``shingles``, the whole sorted set in bytes."""
+    schema = "doc_id long, n long, h1 long, h2 long, sig array<long>, bits binary" + ", shingles binary" * full
 
     def run(batches):
         import xxhash
@@ -61,13 +62,13 @@ def sets(docs: DataFrame, width: int = 5, full: bool = False) -> DataFrame:
                 half = lambda shift: pa.array(np.array([d >> shift & 0xFFFFFFFFFFFFFFFF for d in digest], np.uint64).view(np.int64))
                 as_lists = lambda values: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values).view(np.int64) if values else np.zeros(0, np.int64)))
                 columns = [
-                    ids.slice(a, b - a), pa.array([len(x) for x in found], pa.int64()), half(64), half(0),
-                    as_lists([x[: min(SIGNATURE, len(x) - ceil(0.75 * len(x)) + 1)] if len(x) else x for x in found]),
-                    pa.array([parity_bits(x) for x in found], pa.binary()),
+                    ids.slice(a, b - a), pa.array([x.shape[1] for x in found], pa.int64()), half(64), half(0),
+                    as_lists([x[0, : min(SIGNATURE, x.shape[1] - ceil(0.75 * x.shape[1]) + 1)] if x.shape[1] else x[0] for x in found]),
+                    pa.array([parity_bits(x[0]) for x in found], pa.binary()),
                 ]
                 names = ["doc_id", "n", "h1", "h2", "sig", "bits"]
                 if full:
-                    columns.append(as_lists(found))
+                    columns.append(pa.array([x.tobytes() for x in found], pa.binary()))
                     names.append("shingles")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -101,12 +102,13 @@ def light_links(small: DataFrame, boundary: int) -> DataFrame:
             for doc, n, shingles in zip(rows["doc_id"], rows["n"], rows["shingles"], strict=True):
                 for b in partner_sizes(n):
                     if 0 < b <= boundary:
-                        subsets = np.array(list(combinations(sorted(shingles), needed(n, b))), np.int64).view(np.uint64)
+                        halves = np.frombuffer(shingles, np.uint64).reshape(2, n)
+                        subsets = np.array(list(combinations(range(n), needed(n, b))))
                         with np.errstate(over="ignore"):
                             k1, k2 = np.zeros(len(subsets), np.uint64), np.ones(len(subsets), np.uint64)
                             for j in range(subsets.shape[1]):
-                                k1 = mix(k1 * np.uint64(31) + subsets[:, j])
-                                k2 = mix(k2 * np.uint64(0x9E3779B97F4A7C15) + subsets[:, j])
+                                k1 = mix(k1 * np.uint64(31) + halves[0, subsets[:, j]])
+                                k2 = mix(k2 * np.uint64(0x9E3779B97F4A7C15) + halves[1, subsets[:, j]])
                         out += [(min(n, b), max(n, b), x, y, doc, n) for x, y in zip(k1.view(np.int64).tolist(), k2.view(np.int64).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)], schema=schema)
 
@@ -138,14 +140,37 @@ def _may_link(pairs: DataFrame) -> DataFrame:
 
 
 def verify(spark: SparkSession, pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The pairs ``a, b`` that link, by their whole sets. Only the texts that occur in a pair are read again."""
+    """The pairs ``a, b`` that link, by their whole sets. Only the texts that occur in a pair are read again.
+
+    The partners of an ``a`` are dealt to blocks of about BLOCK; its set goes once to each of them and stays there while theirs pass by."""
     wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    whole = sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), width, full=True).select("doc_id", "shingles")
-    whole, path = common.materialize(spark, whole, "shingles")
-    both = pairs.join(whole.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    common_size = F.size(F.array_intersect("sa", "sb"))
-    linked = both.where(100 * common_size >= 75 * (F.size("sa") + F.size("sb") - common_size)).select("a", "b")
-    out, _ = common.materialize(spark, linked, "links")
+    whole = sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), width, full=True)
+    whole, path = common.materialize(spark, whole.select("doc_id", "h1", "h2", "shingles").dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "shingles"), "shingles")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    partners = dealt.join(whole.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "shingles")
+    own = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(whole.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "shingles")
+    rows = own.unionByName(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            found = []
+            for a, part, b, shingles in zip(*(batch.column(c) for c in ("a", "part", "b", "shingles")), strict=True):
+                a, b, x = a.as_py(), b.as_py(), np.frombuffer(shingles.as_buffer(), np.uint64).reshape(2, -1)
+                if (a, part.as_py()) != key:
+                    key, held = (a, part.as_py()), []
+                if b is None:
+                    held.append(x.copy())
+                    continue
+                for y in held:  # one, but for repeated ids
+                    shared = overlap(x, y)
+                    if 100 * shared >= 75 * (x.shape[1] + y.shape[1] - shared):
+                        found.append((a, b))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    out, _ = common.materialize(spark, rows.mapInArrow(common.lean(run), "a long, b long").distinct(), "links")
     common.drop_path(spark, path)
     return out
 

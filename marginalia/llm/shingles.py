@@ -1,17 +1,15 @@
-"""Word shingles of whole texts as 64-bit hashes, computed on the bytes of a batch at once."""
+"""Word shingles of whole texts as 128-bit hashes, computed for a batch at once."""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import xxhash
 
-_BASE = np.uint64(0x9E3779B97F4A7C55 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _WEIGHTS = [np.uint64(x | 1) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
-_power = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,61 +19,72 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_power[0]) < n:
-        n = max(n, 1 << 16)
-        for i, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _power[i] = np.cumprod(steps)
-    return _power[0][:n], _power[1][:n]
+def _words(text: bytes):
+    """The words of a text with A-Z lower-cased, in lists from pieces of about PIECE bytes. Bytes are split at just [\\x20\\x09-\\x0D]."""
+    at = 0
+    while at < len(text):
+        gap = _SPACE.search(text, at + PIECE)
+        end = gap.start() if gap else len(text)
+        yield text[at:end].lower().split()
+        at = end
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of the texts, A-Z lower-cased, and the number of the text it stands in."""
-    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    space = _SPACE[data]
-    edge = np.diff(space.view(np.int8), prepend=np.int8(1))
-    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if space[0]:
-        stop = stop[stop > 0]
-    power, inverse = _powers(len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * power[: len(data)])])
-        words = mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64) * _WEIGHTS[0])
-    return words, np.searchsorted(ends, start, side="right")
+    """128-bit hash of each word of the texts as two numbers, and the count of words of each text."""
+    hashes, counts = [], []
+    for text in texts:
+        count = 0
+        for words in _words(text):
+            count += len(words)
+            hashes.append(b"".join(map(xxhash.xxh3_128_digest, words)))
+        counts.append(count)
+    return np.frombuffer(b"".join(hashes), np.uint64).reshape(-1, 2).T, np.array(counts, np.int64)
+
+
+def _sorted_set(pairs: np.ndarray) -> np.ndarray:
+    """Distinct columns of a (2, n) array, sorted by the first number, then the second."""
+    out = pairs[:, np.argsort(pairs[0], kind="stable")]
+    same = out[0, 1:] == out[0, :-1]
+    if same.any():
+        if (same & (out[1, 1:] != out[1, :-1])).any():
+            out = pairs[:, np.lexsort(pairs[::-1])]
+        out = out[:, np.concatenate([[True], (out[:, 1:] != out[:, :-1]).any(0)])]
+    return out
 
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; a text of fewer words is one shingle, one without words is empty."""
-    words, owner = word_hashes(texts)
-    count = np.bincount(owner, minlength=len(texts)) if len(owner) else np.zeros(len(texts), np.int64)
+    """The distinct shingles of each text as a sorted (2, n) array; a text of fewer words is one shingle, one without words is empty."""
+    words, count = word_hashes(texts)
+    n = words.shape[1] - width + 1
+    joined = np.zeros((2, max(n, 0)), np.uint64)
     with np.errstate(over="ignore"):
-        n = len(words) - width + 1
-        if n > 0:
-            joined = np.zeros(n, np.uint64)
-            for k in range(width):
-                joined = mix(joined + words[k : k + n]) * _WEIGHTS[k % 5]
+        for k in range(width if n > 0 else 0):  # each half of the hash on its own, in order of the words
+            joined = mix(joined + words[:, k : k + n]) * _WEIGHTS[k % 5]
+    out = []
+    for at, c in zip((np.cumsum(count) - count).tolist(), count.tolist(), strict=True):
+        if c >= width:
+            out.append(_sorted_set(joined[:, at : at + c - width + 1]))
+        elif c:
+            out.append(np.frombuffer(xxhash.xxh3_128_digest(words[:, at : at + c].T.tobytes(), seed=c), np.uint64).reshape(2, 1))
         else:
-            joined = np.zeros(0, np.uint64)
-        first = np.cumsum(count) - count
-        out = []
-        for at, c in zip(first.tolist(), count.tolist(), strict=True):
-            if c >= width:
-                out.append(np.unique(joined[at : at + c - width + 1]))
-            elif c:
-                h = np.uint64(c)
-                for w in words[at : at + c]:
-                    h = mix(np.array([h + w]))[0] * _WEIGHTS[1]
-                out.append(np.array([h], np.uint64))
-            else:
-                out.append(np.zeros(0, np.uint64))
+            out.append(np.zeros((2, 0), np.uint64))
     return out
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if a.shape[1] > b.shape[1]:
+        a, b = b, a
+    if not a.shape[1]:
+        return 0
+    at = np.minimum(np.searchsorted(b[0], a[0]), b.shape[1] - 1)
+    hit = b[0, at] == a[0]
+    found = int((hit & (b[1, at] == a[1])).sum())
+    if found < hit.sum():  # two shingles that share their first half: compare in full
+        return len(set(map(tuple, a.T.tolist())) & set(map(tuple, b.T.tolist())))
+    return found
+
+
 def slices(sizes: list[int], most: int = 1 << 20):
     """Ranges of a batch whose sizes sum to ``most`` at most, or of one longer row."""
     at, total = 0, 0

@@ -310,6 +310,40 @@ def test_jaccard_brute_force(spark, monkeypatch, block):
     assert got == _brute_components(texts)
 
 
+def test_jaccard_of_words_whose_sums_collide(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2 ** 64 for every odd base."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    texts = [(1, one), (2, other), (3, " ".join([one] * 9)), (4, " ".join([other] * 9)), (5, " ".join([one, other] * 5)), (6, other)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs(spark, texts)).collect()}
+    assert got == _brute_components(texts) and got[2] == (1, 2) and got[6] == (1, 2)
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_jaccard_of_long_sets_at_the_threshold(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    texts = []
+    for g in range(12):
+        size = 7 * (20 + 35 * g)  # shingles; at 6/7 in common the similarity is 0.75 exactly
+        words = [f"g{g}w{i}" for i in range(size + 4)]
+        for k, less in enumerate((0, 0, 1)):
+            keep = 6 * size // 7 + 4 - less
+            texts += [(len(texts), " ".join(words[:keep] + [f"g{g}k{k}x{i}" for i in range(len(words) - keep)]))]
+        texts += [(len(texts), " ".join(words))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs(spark, texts)).collect()}
+    assert got == _brute_components(texts)
+
+
+def test_overlap_of_sets():
+    from marginalia.llm import shingles
+
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a, b = (shingles._sorted_set(rng.integers(0, 6, (2, rng.integers(0, 30))).astype(np.uint64)) for _ in range(2))
+        left, right = (set(map(tuple, x.T.tolist())) for x in (a, b))
+        assert shingles.overlap(a, b) == len(left & right) and a.shape[1] == len(left) and a.T.tolist() == sorted(map(list, left))
+
+
 def test_jaccard_odd_rows(spark):
     rows = [tuple(r) for r in jaccard.near_duplicates(docs(spark, ODD, True)).collect()]
     assert sorted(rows, key=str) == sorted([(None, 2, None), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 5), (5, 1, 5), (6, 1, 5)], key=str)
