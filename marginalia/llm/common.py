@@ -44,9 +44,11 @@ def lean(run):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset on a local master (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="marginalia-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -74,6 +76,19 @@ def ascii_lower(col):
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, _UPPER, _LOWER))
 
 
+def fresh(columns: list[str]) -> str:
+    """A prefix with which no column name begins, whatever its case."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
+def column(name: str):
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def key128(col) -> list:
     """Two independent 64-bit hashes of one column; together they serve as its identity."""
     return [F.xxhash64(col), F.xxhash64(F.lit(0x5EED), col)]

@@ -3,12 +3,13 @@
 Token masses are summed per (source, language, topic). Targets for languages and topics are parameters, so their number is known; names
 without a target share the rest in their natural proportion. Sources may be many: their targets are their own shares, tempered
 by a power, and stay in a table. A round rakes source, language and topic factors; it is one pass over one row per source,
-which returns one sum per language and topic to the driver. A document is then kept with probability ``min(1, keep * ratio)``, ratio being
-target over natural share of its cell; its ``mix_weight`` is what the probability leaves of the calibrated weight.
+which returns one sum per language and topic to the driver, until no factor moves any more. A document is then wanted ``keep * ratio``
+times, ratio being target over natural share of its cell: as often as the whole part of that says, and once more with the
+probability of the rest. ``mix_p`` is that number and ``mix_copies`` what was drawn, so the tokens drawn of each cell meet its target.
 
 Defined results: null source, lang: a category of its own; null or empty text: no tokens, and the ratio of its cell (1 where the
 cell has no mass); repeated rows with one doc_id are kept or dropped together; null doc_id is drawn as one id; an empty table gives no rows;
-columns of the input pass through, and a column named like one of the results is replaced.
+columns of the input pass through, whatever their names, and a column named like one of the results is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ LANGUAGES = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
 TOPICS = {"legal": 0.1, "contact": 0.1, "short": 0.2, "medium": 0.35, "long": 0.25}
 REST = "*"
 NONE = "(none)"
-ROUNDS = 25
+ROUNDS, SETTLED = 25, 1e-12
 BROADCAST_SOURCES = 20_000
 SALTS = 32
 
@@ -81,6 +82,7 @@ def fit(cells: DataFrame, languages: dict[str, float], topics: dict[str, float],
         return F.when(whole > 0, share / whole).otherwise(F.lit(0.0))
 
     for _ in range(rounds):
+        before = [*b.values(), *c.values()]
         a = source_factor()
         row = sources.select(a.alias("a"), *names).agg(*(F.sum(F.col("a") * F.col(n)) for n in names)).first()
         mass = dict(zip(pairs, row, strict=True))
@@ -90,6 +92,8 @@ def fit(cells: DataFrame, languages: dict[str, float], topics: dict[str, float],
         for topic in c:
             s = sum(x * b[g] for (g, t), x in mass.items() if t == topic)
             c[topic] = want_topic.get(topic, 0.0) / s if s > 0 else 1.0
+        if all(abs(x - y) <= SETTLED * abs(y) for x, y in zip([*b.values(), *c.values()], before, strict=True)):
+            break
     # b and c of the last round, with the source factor of its start
     factors = sources.select("_source", a.alias("a"))
     cased = F.lit(0.0)
@@ -104,39 +108,41 @@ def draw(key, seed: int):
 
 
 def mix(docs: DataFrame, languages: dict[str, float] | None = None, topics: dict[str, float] | None = None, power: float = 0.7, keep: float = 1.0, seed: int = 3, rounds: int = ROUNDS) -> DataFrame:
-    """The sampled rows of ``docs`` with ``mix_topic, mix_tokens, mix_p, mix_weight``."""
+    """The sampled rows of ``docs`` with ``mix_topic, mix_tokens, mix_p, mix_copies``."""
     languages, topics = languages or LANGUAGES, topics or TOPICS
-    spark = docs.sparkSession
+    spark, own = docs.sparkSession, common.fresh(docs.columns)
+    names = {x: own + x for x in ("source", "lang", "topic", "kind", "tokens", "salt", "ratio", "p", "copies")}
+    at = lambda x: F.col(names[x])
+    on = [names[x] for x in ("source", "lang", "topic")]
     tagged = docs.withColumns({
-        "_source": F.coalesce("source", F.lit(NONE)), "_lang": _named(F.col("lang"), languages), "_kind": topic_of(F.col("text")), "_tokens": token_count(F.col("text")),
-    }).withColumn("_topic", _named(F.col("_kind"), topics))
-    cells, _ = common.materialize(spark, tagged.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("mass"), F.count("*").alias("rows")), "cells")
+        names["source"]: F.coalesce("source", F.lit(NONE)), names["lang"]: _named(F.col("lang"), languages), names["kind"]: topic_of(F.col("text")), names["tokens"]: token_count(F.col("text")),
+    }).withColumn(names["topic"], _named(at("kind"), topics))
+    masses = tagged.groupBy(*on).agg(F.sum(names["tokens"]).alias("mass"), F.count("*").alias("rows")).toDF("_source", "_lang", "_topic", "mass", "rows")
+    cells, _ = common.materialize(spark, masses, "cells")
     ratios, _ = common.materialize(spark, fit(cells, languages, topics, power, rounds), "ratios")
-    on = ["_source", "_lang", "_topic"]
-    if ratios.count() <= BROADCAST_SOURCES:
+    few = ratios.count() <= BROADCAST_SOURCES
+    ratios = ratios.toDF(*on, names["ratio"])
+    if few:
         joined = tagged.join(F.broadcast(ratios), on)
     else:  # too many for a broadcast: deal each cell to SALTS places, so a source of a third of all rows is split
-        salted = ratios.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = tagged.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"])
-    p = F.round(F.least(F.lit(1.0), F.col("ratio") * keep), 6)
-    weighed = joined.withColumn("_p", p).withColumn("_weight", F.round(F.greatest(F.lit(1.0), F.col("ratio") * keep), 6))
-    kept = weighed.where(draw(F.col("doc_id"), seed) < F.col("_p"))
-    own = [c for c in docs.columns if c not in ("mix_topic", "mix_tokens", "mix_p", "mix_weight")]
-    return kept.select(*own, F.col("_kind").alias("mix_topic"), F.col("_tokens").alias("mix_tokens"), F.col("_p").alias("mix_p"), F.col("_weight").alias("mix_weight"))
+        salted = ratios.withColumn(names["salt"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = tagged.withColumn(names["salt"], F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")).join(salted, [*on, names["salt"]])
+    weighed = joined.withColumn(names["p"], F.round(at("ratio") * keep, 6))
+    drawn = F.floor(at("p")) + F.when(draw(F.col("doc_id"), seed) < at("p") - F.floor(at("p")), 1).otherwise(0)
+    kept = weighed.withColumn(names["copies"], drawn.cast("long")).where(at("copies") > 0)
+    columns = [common.column(c) for c in docs.columns if c.lower() not in ("mix_topic", "mix_tokens", "mix_p", "mix_copies")]
+    return kept.select(*columns, at("kind").alias("mix_topic"), at("tokens").alias("mix_tokens"), at("p").alias("mix_p"), at("copies").alias("mix_copies"))
 
 
-def copies(mixed: DataFrame, seed: int = 4) -> DataFrame:
-    """The rows of ``mix`` as often as ``mix_weight`` says: its whole part, and once more with the probability of the rest, drawn by doc_id.
-
-    With the rows that ``mix`` drops, token masses then meet the targets in expectation and their total stays that of the input."""
-    weight = F.col("mix_weight")
-    times = F.floor(weight) + F.when(draw(F.col("doc_id"), seed) < weight - F.floor(weight), 1).otherwise(0)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("_copy")
+def copies(mixed: DataFrame) -> DataFrame:
+    """The rows of ``mix`` as often as ``mix_copies`` says. With the rows that ``mix`` drops, token masses meet the targets in expectation, and their total is ``keep`` times that of the input."""
+    own = common.fresh(mixed.columns) + "copy"
+    return mixed.withColumn(own, F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).drop(own)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mix(docs, keep=0.8).select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("mix_p", 4).alias("p"), F.round("mix_weight", 4).alias("weight"))
+    return mix(docs, keep=0.8).select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("mix_p", 4).alias("p"), F.col("mix_copies").alias("copies"))
 
 
 def _sql() -> str:
@@ -163,9 +169,10 @@ w0 AS MATERIALIZED (SELECT s, g, k, mass, CAST(1 AS DOUBLE) AS r FROM c)"""
             at += 1
     return (
         head + ",\n" + ",\n".join(parts) + f""",
-f AS (SELECT t.*, coalesce(w.r * (SELECT sum(mass) FROM c), 1.0) * 0.8 AS e FROM t LEFT JOIN w{at} w ON w.s = t.s AND w.g = t.g AND w.k = CASE WHEN t.kind IN ({names(TOPICS)}) THEN t.kind ELSE '{REST}' END)
-SELECT doc_id, source, lang, kind AS topic, tokens, round(least(1.0, e), 4) AS p, round(greatest(1.0, e), 4) AS weight FROM f
-WHERE CAST('0x' || substr(md5('3:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0 < round(least(1.0, e), 6)
+f AS (SELECT t.*, coalesce(w.r * (SELECT sum(mass) FROM c), 1.0) * 0.8 AS e FROM t LEFT JOIN w{at} w ON w.s = t.s AND w.g = t.g AND w.k = CASE WHEN t.kind IN ({names(TOPICS)}) THEN t.kind ELSE '{REST}' END),
+g AS (SELECT *, CAST(floor(q) AS BIGINT) + CASE WHEN CAST('0x' || substr(md5('3:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) / 4503599627370496.0 < q - floor(q) THEN 1 ELSE 0 END AS copies
+  FROM (SELECT *, round(e, 6) AS q FROM f))
+SELECT doc_id, source, lang, kind AS topic, tokens, round(q, 4) AS p, copies FROM g WHERE copies > 0
 """
     )
 

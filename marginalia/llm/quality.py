@@ -3,14 +3,15 @@
 1. Each labeller votes good, bad or abstains on every document. The vote patterns (3 ** 9 at most) are counted over all documents.
 2. Expectation-maximisation on the pattern counts estimates the share of good documents and, for each labeller, the
    probability of a vote for or against given the class; labellers are independent given the class, and an abstention says nothing.
-3. A bounded sample of documents (``train_rows``, by hash of doc_id), labelled by the posterior of their pattern, trains a
-   logistic scorer on hashed 4-byte windows and hashed buckets of the labellers' measures.
+3. A bounded sample of documents (``train_rows`` at most, by the smallest hashes of doc_id and text), labelled by the posterior of their
+   pattern, trains a logistic scorer on hashed 4-byte windows and hashed buckets of the labellers' measures.
 4. Every document is scored over its whole text and rejected below ``threshold``.
 
 Gold labels are not used; tests hold the result against them.
 
-Defined results: null text or one without words: score 0, rejected; null doc_id passes through; repeated rows get a row each; an empty table
-gives no rows; other columns are ignored.
+Defined results: null text or one without words: score 0, rejected; null doc_id passes through; repeated rows get a row each and count as often,
+but are drawn to the sample together or not at all, once; very long texts are counted and scored whole, those over TRAIN_BYTES never train;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -164,20 +165,28 @@ def fit(rows: list[tuple[str, float]], rounds: int = 150, rate: float = 2.0, dec
     return w
 
 
+def sample(docs: DataFrame, total: int, train_rows: int) -> DataFrame:
+    """``text`` of train_rows documents at most, those of the smallest hashes of doc_id and text; ``total`` is about the number of rows."""
+    drawn = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
+    # a filter that leaves about twice the sample, so that few rows are sorted, then the bound itself: hashes of texts spread evenly, null ids too
+    few = docs.where(F.octet_length("text").between(1, TRAIN_BYTES)).select("text", drawn.alias("drawn")).where(F.pmod("drawn", F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, 2 * train_rows / total))))
+    return few.dropDuplicates(["drawn"]).orderBy("drawn").limit(train_rows).select("text")
+
+
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict[int, float], np.ndarray]:
     """Weights of the scorer, posteriors by pattern and labeller accuracies. All rows are counted; train_rows bound only the scorer's sample."""
     spark = docs.sparkSession
     counted = {int(r["pattern"]): int(r["n"]) for r in patterns(docs).where("pattern is not null").groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     posterior, accuracy = label_model(counted)
     total = max(1, sum(counted.values()))
-    picked = docs.where(F.octet_length("text").between(1, TRAIN_BYTES)).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, train_rows / total))))
+    picked = sample(docs, total, train_rows)
     held = spark.sparkContext.broadcast(posterior)
 
     def run(batches):
         rows = [(t, held.value.get(_pattern(votes(m)), 0.5)) for b in batches for t in b.column(0).to_pylist() if (m := measures(t)) is not None]
         yield pa.RecordBatch.from_arrays([pa.array([fit(rows).tobytes()], pa.binary())], names=["weights"])
 
-    weights = picked.select("text").coalesce(1).mapInArrow(common.lean(run), "weights binary").collect()
+    weights = picked.repartition(1).mapInArrow(common.lean(run), "weights binary").collect()
     return (np.frombuffer(weights[0]["weights"]) if weights else np.zeros(FEATURES + 1)), posterior, accuracy
 
 

@@ -101,6 +101,29 @@ def test_line_dedup_keeps_rows_apart(spark):
     assert got == sorted([(1, "", 1, 1), (2, "", 1, 1), (3, line, 1, 0), (0, "x", 2, 1), (0, f"{alone} 1", 2, 1), *[(0, f"{alone} 2", 1, 0)] * 2, (2, f"{alone} 3", 2, 1), (3, f"{alone} 4\n{line}", 2, 0)])
 
 
+def test_line_dedup_passes_columns_of_any_name(spark):
+    line = "A line that many documents do share"
+    odd = docs(spark, [(i, f"{line}\nown {i}") for i in range(5)]).selectExpr("*", *(f"concat('{x}', doc_id) as `{x}`" for x in ("_drops", "_r1", "r2", "_LINES", "__text", "salt", "holder", "a.b", "n_lines")))
+    got = sorted(tuple(r) for r in lines.drop_common_lines(odd).select("doc_id", "text", "_drops", "_r1", "r2", "_LINES", "__text", "salt", "holder", "`a.b`", "n_lines", "n_dropped").collect())
+    assert got == [(i, f"own {i}" if i < 4 else f"{line}\nown 4", *(f"{x}{i}" for x in ("_drops", "_r1", "r2", "_LINES", "__text", "salt", "holder", "a.b")), 2, int(i < 4)) for i in range(5)]
+
+
+def test_line_dedup_brute_force(spark):
+    rng = random.Random(8)
+    pool = [f" Line {k} of the pool, long enough\t" for k in range(12)] + ["short", "", "ÄÄÄÄ a line of twenty points and more"]
+    rows = [(rng.choice([None, *range(40)]), "\n".join(rng.choice(pool) + rng.choice(["", "", f" {k}"]) for _ in range(rng.randrange(1, 9)))) for k in range(120)]
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\r\x0b\x0c"))
+    holders = {}
+    for i, text in rows:
+        for x in text.split("\n"):
+            if i is not None and len(key(x)) >= 20:
+                holders.setdefault(key(x), set()).add(i)
+    dropped = lambda i, x: len(holders.get(key(x), ())) >= 3 and i != max(holders[key(x)])
+    want = sorted((i if i is not None else -1, "\n".join(x for x in t.split("\n") if not dropped(i, x)), t.count("\n") + 1, sum(dropped(i, x) for x in t.split("\n"))) for i, t in rows)
+    got = lines.drop_common_lines(docs(spark, rows)).collect()
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"], r["n_lines"], r["n_dropped"]) for r in got) == want
+
+
 # ---- 3
 
 
@@ -112,10 +135,28 @@ def test_mixing(spark, data):
     share = weight.groupby(ratios["_lang"]).sum() / weight.sum()
     assert all(abs(share[k] - v) < 1e-3 for k, v in mixing.LANGUAGES.items())
     odd = mixing.mix(docs(spark, ODD, True)).collect()
-    assert len(odd) <= len(ODD) and all(r["mix_p"] <= 1 for r in odd)
+    assert all(r["mix_copies"] >= 1 and abs(r["mix_copies"] - r["mix_p"]) < 1 for r in odd)
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("keep", [0.8, 0.1])
+def test_mixing_sample_meets_the_targets(spark, data, keep):
+    many = common.table(spark, data, "documents").withColumn("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.col("doc_id") + i * 1_000_000)))
+    got = mixing.mix(many, keep=keep).groupBy("lang", "mix_topic").agg(F.sum(F.col("mix_tokens") * F.col("mix_copies")).alias("n")).toPandas()
+    total = got["n"].sum()
+    before = many.agg(F.sum(mixing.token_count(F.col("text")))).first()[0]
+    assert abs(total / before / keep - 1) < 0.06
+    for column, targets in (("mix_topic", mixing.TOPICS), ("lang", mixing.LANGUAGES)):
+        shares = got.groupby(column)["n"].sum() / total
+        assert all(abs(shares[k] - v) < 0.02 for k, v in targets.items()), shares
+
+
+def test_mixing_passes_columns_of_any_name(spark):
+    odd = docs(spark, [(i, "some words here " * 30) for i in range(30)]).selectExpr("*", *(f"concat('{x}', doc_id) as `{x}`" for x in ("_source", "_p", "_tokens", "__weight", "_salt", "a.b")))
+    got = mixing.copies(mixing.mix(odd)).select("doc_id", "_source", "_p", "_tokens", "__weight", "_salt", "`a.b`").collect()
+    assert got and all(tuple(r)[1:] == tuple(f"{x}{r['doc_id']}" for x in ("_source", "_p", "_tokens", "__weight", "_salt", "a.b")) for r in got)
+
+
 def test_mixing_salted_equals_broadcast(spark, data, monkeypatch):
     d = common.table(spark, data, "documents")
     one = {r["doc_id"] for r in mixing.mix(d, keep=0.5).select("doc_id").collect()}
@@ -384,6 +425,77 @@ def test_quality_odd_rows(spark):
     assert quality.keep_good(docs(spark, [])).count() == 0
 
 
+def test_quality_sample_is_bounded_and_draws_null_ids(spark):
+    seen = []
+    same = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("some words of text number "), F.col("id")).alias("text"))
+    for df in (same, same.withColumn("doc_id", F.lit(1).cast("long")), same.withColumn("doc_id", F.expr("cast(substring_index(text, ' ', -1) as long)")), same.withColumn("text", F.lit("one text of words"))):
+        seen.append(quality.sample(df, 20_000, 400).count())
+    assert seen[:3] == [400] * 3 and seen[3] <= 1
+
+
+def test_quality_brute_force(spark, data):
+    """The whole operator again in plain loops: expectation-maximisation over documents, a dense scorer, one text at a time."""
+    rows = [(r["doc_id"], r["text"]) for r in common.table(spark, data, "documents").collect()]
+    m = {i: quality.measures(t) for i, t in rows}
+    v = {i: quality.votes(x) for i, x in m.items()}
+    good = {i: 0.9 if sum(x == -1 for x in y) < 2 else 0.1 for i, y in v.items()}
+    for _ in range(200):
+        prior = (sum(good.values()) + 1) / (len(good) + 2)
+        odds = {i: np.log(prior / (1 - prior)) for i in v}
+        for k in range(len(quality.NAMES)):
+            mass = {(c, x): 0.5 + sum(good[i] if c else 1 - good[i] for i in v if v[i][k] == x) for c in (0, 1) for x in (-1, 1)}
+            for i in v:
+                if v[i][k]:
+                    odds[i] += np.log(mass[1, v[i][k]] / (mass[1, -1] + mass[1, 1])) - np.log(mass[0, v[i][k]] / (mass[0, -1] + mass[0, 1]))
+        after = {i: 1 / (1 + np.exp(-np.clip(x, -30, 30))) for i, x in odds.items()}
+        step, good = max(abs(after[i] - good[i]) for i in v), after
+        if step < 1e-9:
+            break
+    dense = {}
+    for i, t in rows:
+        dense[i] = np.zeros(quality.FEATURES + 1)
+        np.add.at(dense[i], quality.features(t, m[i])[0], quality.features(t, m[i])[1])
+        dense[i][-1] = 1
+    used = [i for i, t in rows if len(t.encode()) <= quality.TRAIN_BYTES]
+    x, p = np.array([dense[i] for i in used]), np.array([good[i] for i in used])
+    w, seen = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-8)
+    for _ in range(150):
+        error = (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - p) / len(p)
+        slope = x.T @ error + 1e-4 * np.append(w[:-1], 0)
+        seen += slope**2
+        w -= 0.2 * slope / np.sqrt(seen)
+    got = {r["doc_id"]: r for r in registry.QUERIES["op9_quality"](spark, data).collect()}
+    assert len(got) == len(rows)
+    for i, _ in rows:
+        q = 1 / (1 + np.exp(-np.clip(dense[i] @ w, -30, 30)))
+        assert abs(got[i]["weak_label"] - good[i]) < 1e-6 and abs(got[i]["quality"] - q) < 1e-3 and (abs(q - 0.5) < 1e-3 or got[i]["keep"] == (q >= 0.5))
+
+
+def test_language_brute_force(spark, data):
+    """Each text compressed whole-piece with each language's dictionary, by the library alone."""
+    import zstandard
+
+    d = common.table(spark, data, "documents")
+    contents = language.dictionaries(d)
+    long = "Der Hund und die Katze. " * 20_000
+    rows = [*((r["doc_id"], r["text"]) for r in d.collect()), (-1, long), (-2, "7 8"), (-3, None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs(spark, rows), contents).collect()}
+    for i, text in rows:
+        raw = re.sub(r"(?:\W|\d|_)+", " ", (text or "").lower()).encode()
+        if not re.search(r"[^\W\d_]", text or ""):
+            assert got[i] == "und"
+            continue
+        size = {}
+        for lang, content in contents.items():
+            for at in range(0, len(raw), language.PIECE):
+                piece = raw[at : at + language.PIECE]
+                data_ = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                packer = zstandard.ZstdCompressor(level=language.LEVELS[len(piece) > language.SHORT], dict_data=data_, write_content_size=False, write_checksum=False, write_dict_id=False)
+                size[lang] = size.get(lang, 0) + len(packer.compress(piece))
+        assert size[got[i]] <= min(size.values()) * 1.01
+    assert language.identify(docs(spark, []), contents).count() == 0
+
+
 def test_label_model_finds_accuracies():
     rng, counts = np.random.default_rng(6), {}
     accuracy = np.array([0.95, 0.9, 0.85, 0.9, 0.95, 0.8, 0.9, 0.85, 0.9])
