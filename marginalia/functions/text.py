@@ -11,7 +11,11 @@ SNIPPET = 160
 BLOB_BYTES = 8192
 
 # English words that carry no content for the precision gate.
-STOPWORDS = tuple("a an and are as at be but by can did do does for from had has have he her his how i if in into is it its me my no not of on or our she so than that the their them then there these they this to was we were what when where which who why will with you your".split())
+STOPWORDS = (
+    "a", "about", "an", "and", "any", "are", "as", "at", "be", "been", "but", "by", "can", "did", "do", "does", "for", "from", "had", "has", "have", "how",
+    "i", "if", "in", "into", "is", "it", "its", "me", "my", "no", "not", "of", "on", "or", "our", "should", "so", "that", "the", "their", "them", "then",
+    "there", "these", "they", "this", "to", "was", "we", "were", "what", "when", "where", "which", "who", "why", "will", "with", "would", "you", "your",
+)
 
 #: Path prefix or exact path -> ring; a prefix ends with "/", "" holds everything.
 Rules = list[tuple[str, int]]
@@ -58,7 +62,7 @@ def identifier(c: Column) -> Column:
 
 
 def norm_stem(path: Column) -> Column:
-    return identifier(F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(.)\.[^.]*$", "$1"))
+    return identifier(F.regexp_replace(F.regexp_extract(path, r"([^/]*)\z", 1), r"(.)\.[^.]*\z", "$1"))
 
 
 def gate_words(c: Column) -> Column:
@@ -95,7 +99,7 @@ def frontmatter_ring(text: Column) -> Column:
     head = F.regexp_extract(F.regexp_replace(text, "^\ufeff", ""), r"(?s)^[ \t]*---[ \t]*\r?\n(.*?\n)??[ \t]*---[ \t]*(?:\r?\n|$)", 1)
     token = F.regexp_extract(head, r"(?si).*(?:^|\n)ring:[ \t]*([^\s]*)", 1)
     has = F.regexp_like(head, F.lit(r"(?i)(?:^|\n)ring:"))
-    number = F.when(token.rlike(r"^\+?[0-9]{1,3}$"), token.cast("int"))
+    number = F.when(token.rlike(r"^\+?[0-9]{1,3}\z"), token.cast("int"))
     return F.when(has, F.when(number <= 255, number).otherwise(F.lit(255)))
 
 
@@ -125,7 +129,7 @@ def secret_path(path: Column) -> Column:
     base = F.element_at(parts, -1)
     return (
         F.arrays_overlap(parts, F.array(*map(F.lit, SECRET_FOLDERS)))
-        | base.rlike(r"secret|credential|password|^\.env|\.(pem|key|keystore|p12|pfx|tfstate)$")
+        | base.rlike(r"secret|credential|password|^\.env|\.(pem|key|keystore|p12|pfx|tfstate)\z")
         | base.isin("id_rsa", "id_ed25519")
     )
 

@@ -57,10 +57,10 @@ def resolve_links(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """``from_doc, to_doc`` for each target that names exactly one document by a path suffix, its .md left out or not.
 
     A native store's own folder is tried first. Links of a document to itself are dropped, repeated ones are kept."""
-    names = docs.select(F.col("doc_id").alias("to_doc"), F.explode(path_suffixes(F.regexp_replace(F.lower("path"), r"\.md$", ""))).alias("key"))
+    names = docs.select(F.col("doc_id").alias("to_doc"), F.explode(path_suffixes(F.regexp_replace(F.lower("path"), r"\.md\z", ""))).alias("key"))
     unique = names.groupBy("key").agg(F.count("*").alias("n"), F.min("to_doc").alias("to_doc")).where("n = 1").drop("n")
-    keyed = targets.join(docs.select("doc_id", "path"), "doc_id").withColumn("key", F.regexp_replace(F.lower("target"), r"\.md$", ""))
-    sibling = F.when(F.startswith("path", F.lit("native:")), F.concat(F.regexp_replace(F.lower("path"), r"[^/]*$", ""), F.col("key")))
+    keyed = targets.join(docs.select("doc_id", "path"), "doc_id").withColumn("key", F.regexp_replace(F.lower("target"), r"\.md\z", ""))
+    sibling = F.when(F.startswith("path", F.lit("native:")), F.concat(F.regexp_replace(F.lower("path"), r"[^/]*\z", ""), F.col("key")))
     keyed = keyed.withColumn("near", sibling)
     found = keyed.join(unique, "key", "left").join(unique.select(F.col("key").alias("near"), F.col("to_doc").alias("near_doc")), "near", "left")
     return found.select(F.col("doc_id").alias("from_doc"), F.coalesce("near_doc", "to_doc").alias("to_doc")).where("to_doc is not null and from_doc <> to_doc")

@@ -193,7 +193,7 @@ def use_table(files: DataFrame) -> DataFrame:
 
 def unmeasured(files: DataFrame) -> DataFrame:
     """Why a file has no symbols: its language has no parser here."""
-    low = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    low = F.lower(F.regexp_extract("path", r"\.([^./]+)\z", 1))
     return files.select("path", F.when(~low.isin(list(LANGUAGES)), "unsupported-language").alias("unmeasured"))
 
 
@@ -208,7 +208,7 @@ def import_tables(files: DataFrame, go_module: str | None = None) -> tuple[DataF
     best = exists.withColumn("_n", F.row_number().over(Window.partitionBy("path", "_id").orderBy("ord"))).where("_n = 1")
     out = best.select(F.col("path").alias("src"), "dst", F.col("line").alias("start_line"), "local_name", "target_name", "kind")
     if go_module:
-        folders = files.where(F.endswith("path", F.lit(".go")) & ~F.endswith("path", F.lit("_test.go"))).select(F.col("path").alias("dst"), F.regexp_replace("path", r"/?[^/]*$", "").alias("folder"))
+        folders = files.where(F.endswith("path", F.lit(".go")) & ~F.endswith("path", F.lit("_test.go"))).select(F.col("path").alias("dst"), F.regexp_replace("path", r"/?[^/]*\z", "").alias("folder"))
         go = found.select("*", F.explode("candidates").alias("c")).where(F.startswith("c", F.lit(f"go:{go_module}")))
         go = go.withColumn("folder", F.regexp_replace(F.substring("c", len(go_module) + 4, 10_000), "^/", ""))
         out = out.unionByName(go.join(folders, "folder").select(F.col("path").alias("src"), "dst", F.col("line").alias("start_line"), "local_name", "target_name", "kind"))

@@ -46,7 +46,19 @@ def within_budget(rows: DataFrame, cost: Column, budget: int, order: list, parti
 def clip_lines(body: Column, chars: int) -> Column:
     """The lines that fit whole, at least the first piece."""
     cut = F.substring(body, 1, chars)
-    return F.when(F.char_length(body) <= chars, body).when(F.instr(cut, "\n") > 0, F.regexp_replace(cut, r"\n[^\n]*$", "")).otherwise(cut)
+    return F.when(F.char_length(body) <= chars, body).when(F.instr(cut, "\n") > 0, F.regexp_replace(cut, r"\n[^\n]*\z", "")).otherwise(cut)
+
+
+def clip_tokens(body: Column, budget: int) -> tuple[Column, Column]:
+    """The text that fits a budget of tokens, 0 being no limit, and the tokens left out: up to the last line end that fits, or else the last whole character."""
+    if not budget:
+        return body, F.lit(0).cast("long")
+    raw = F.encode(body, "utf-8")
+    cut = F.coalesce(*(F.when(F.is_valid_utf8(part), part) for k in range(4) for part in [F.substring(raw, 1, int(budget * 3.5) - k).cast("string")]))
+    whole = F.when(F.instr(cut, "\n") > 0, F.regexp_replace(cut, r"\n[^\n]*\z", "")).otherwise(cut)
+    fits = text.token_estimate(body) <= budget
+    left = F.ceil((F.octet_length(body) - F.octet_length(whole)) / F.lit(3.5)).cast("long")
+    return F.when(fits, body).otherwise(whole), F.when(fits, F.lit(0).cast("long")).otherwise(left)
 
 
 def shared_budget(rows: DataFrame, cost: str, budget: int, partition: list[str], order: str) -> DataFrame:

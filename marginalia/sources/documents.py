@@ -79,7 +79,7 @@ def card_faults(cards: DataFrame, schema: int = 1) -> DataFrame:
     """``path, fault`` of cards whose schema, id or place is wrong or repeated. ``cards``: ``path, json``."""
     j = cards.select("path", F.get_json_object("json", "$.schema").cast("int").alias("schema"), F.get_json_object("json", "$.id").alias("id"))
     n = j.groupBy("id").agg(F.count("*").alias("n"))
-    fault = F.when(F.coalesce("schema", F.lit(-1)) != schema, "schema").when(F.col("id").isNull(), "no id").when(F.regexp_extract("path", r"([^/]+)\.json$", 1) != F.col("id"), "path").when(F.col("n") > 1, "repeated id")
+    fault = F.when(F.coalesce("schema", F.lit(-1)) != schema, "schema").when(F.col("id").isNull(), "no id").when(F.regexp_extract("path", r"([^/]+)\.json\z", 1) != F.col("id"), "path").when(F.col("n") > 1, "repeated id")
     return j.join(n, "id", "left").select("path", fault.alias("fault")).where("fault is not null")
 
 

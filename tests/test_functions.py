@@ -143,3 +143,24 @@ def test_tree_reader_and_ignore_rules(spark, tmp_path):
 def test_marker_in_json():
     assert documents.search_json('{"a": ["<m> x", {"b": "<m>"}], "c": 1}', "<m>") == 2
     assert documents.search_json("broken", "<m>") == 0
+
+
+def test_clipping_keeps_whole_lines(spark):
+    from marginalia.operators import ranking
+
+    rows = [("ab\ncd\nef", 6), ("ab\ncd\nef", 5), ("abcdefgh", 3), ("ab\n\ncd", 4), ("\nabc", 2)]
+    got = [spark.createDataFrame([(t,)], "t string").select(ranking.clip_lines(F.col("t"), n)).first()[0] for t, n in rows]
+    assert got == ["ab\ncd", "ab", "abc", "ab\n", ""]
+
+    def plain(body, budget):  # bytes that fit, back to a whole character, back to the last line end
+        data = body.encode()
+        if -(-len(data) * 2 // 7) <= budget:
+            return body, 0
+        shown = data[: int(budget * 3.5)].decode("utf-8", "ignore")
+        shown = shown[: shown.rfind("\n")] if "\n" in shown else shown
+        return shown, -(-(len(data) - len(shown.encode())) * 2 // 7)
+
+    texts = ["ærste linje\nzweite Zeile mit Umlauten äöü\nthird line\n", "äöü" * 9, "ab\n" * 9, "😀" * 7, "", "one"]
+    for budget in (1, 2, 3, 4, 7, 50):
+        rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", *ranking.clip_tokens(F.col("t"), budget)).collect()
+        assert all((r[1], r[2]) == plain(r[0], budget) for r in rows), budget
