@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-PROJECTIONS = 32
+PROJECTIONS = 256
+MISSES = 0.65
 BLOCK_ROWS = 2048
 QUERY_BLOCK = 16_384
 TOP_K = 20
@@ -38,42 +39,33 @@ def calibrated(threshold: float, projections: int) -> tuple[float, int]:
 
     Unit vectors of cosine ``threshold`` or more differ by a vector of squared length ``2 - 2 * threshold`` at most. Along
     orthonormal directions the squared differences sum to no more than that, so at most ``(2 - 2 * threshold) / window**2``
-    of them exceed the window: a pair that links collides in all the other projections. Six misses are allowed; up to six projections demand no collision, and every pair goes to
-    the exact check.
+    of them exceed the window: a pair that links collides in all the other projections. The window is the one at which that is
+    MISSES of the projections: narrow, so that runs are short, while the count left is far above that of unrelated vectors.
     """
     square = 2 - 2 * threshold
-    window = sqrt(square / 6.25)
-    return window + 1e-7, max(0, projections - floor(square / window**2))
+    misses = floor(MISSES * projections)
+    return sqrt(square / (misses + 0.25)) + 1e-7, projections - misses
 
 
 def _linked_block(a: np.ndarray, b: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of the rows of two blocks with cosine at or over the threshold; within one block, i < j.
 
-    Each projection is sorted; the window about each query names a run of the sorted order, and runs are counted per pair. Pairs that
-    can no longer reach the count are given up while the projections go on; those that reach it are verified in double precision."""
-    directions = rotation(a.shape[1])
+    Each projection of the second block is sorted. The window about a query's projection is a run of that order; the collisions of the query are
+    counted over the runs of all projections, and only rows that reach the count are verified, in double precision."""
+    directions = rotation_cached(a.shape[1])
     window, least = calibrated(threshold, directions.shape[1])
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     pa_, pb_ = (a / na[:, None]) @ directions, (b / nb[:, None]) @ directions
-    misses, allowed = None, directions.shape[1] - least
-    order = np.argsort(pb_[:, 0], kind="stable")
-    keys = pb_[order, 0]
-    low, high = np.searchsorted(keys, pa_[:, 0] - sqrt(2 - 2 * threshold) - 1e-7), np.searchsorted(keys, pa_[:, 0] + sqrt(2 - 2 * threshold) + 1e-7, side="right")
+    orders = np.ascontiguousarray(np.argsort(pb_, axis=0, kind="stable").T)
+    low, high = np.empty(pa_.shape, np.int64), np.empty(pa_.shape, np.int64)
+    for k, order in enumerate(orders):
+        keys = pb_[order, k]
+        low[:, k], high[:, k] = np.searchsorted(keys, pa_[:, k] - window), np.searchsorted(keys, pa_[:, k] + window, side="right")
     left, right = [], []
-    for i in range(len(a)):  # the runs of the first projection; its hard window is the whole distance
-        j = order[low[i] : high[i]]
+    for i, (start, stop) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+        hits = np.bincount(np.concatenate([order[x:y] for order, x, y in zip(orders, start, stop, strict=True)]), minlength=len(b))
+        j = np.flatnonzero(hits >= least)
         j = j[j > i] if same else j
-        if not len(j):
-            continue
-        misses = np.zeros(len(j), np.uint8)
-        for k in range(directions.shape[1]):
-            misses += np.abs(pb_[j, k] - pa_[i, k]) > window
-            if k >= allowed and k % 4 == 3:
-                alive = misses <= allowed
-                j, misses = j[alive], misses[alive]
-                if not len(j):
-                    break
-        j = j[misses <= allowed]
         if len(j):
             cosine = (b[j] @ a[i]) / (nb[j] * na[i])
             j = j[cosine >= threshold]

@@ -245,6 +245,31 @@ def _vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
+@pytest.mark.parametrize("dim", [1, 2, 3, 5, 16, 64, 300])
+def test_linked_block_loses_no_link(dim):
+    """Pairs at and about the threshold, whose difference lies in any direction, one of the projections' own included."""
+    rng = np.random.default_rng(dim)
+    own = vectors.rotation(dim).T
+    rows = []
+    for k in range(120):
+        v = rng.standard_normal(dim)
+        v /= np.linalg.norm(v)
+        d = own[k % len(own)] if k % 2 else rng.standard_normal(dim)
+        d = d - (d @ v) * v
+        if np.linalg.norm(d) > 1e-9:
+            cosine = rng.choice([0.9801, 0.98 + 1e-9, 0.985, 0.9799, 0.99])
+            rows.append((cosine * v + np.sqrt(1 - cosine**2) * d / np.linalg.norm(d)) * rng.uniform(0.1, 9))
+        rows.append(v)
+    m = np.array(rows)
+    unit = m / np.linalg.norm(m, axis=1)[:, None]
+    want = {(i, j) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.98 + 1e-12), strict=True) if i < j}
+    never = {(i, j) for i, j in zip(*np.nonzero(unit @ unit.T < 0.98 - 1e-12), strict=True)}
+    got = set(zip(*(x.tolist() for x in vectors._linked_block(m, m, True, 0.98)), strict=True))
+    assert want <= got and not got & never
+    cross = set(zip(*(x.tolist() for x in vectors._linked_block(m[:70], m[70:], False, 0.98)), strict=True))
+    assert cross == {(i, j - 70) for i, j in got if i < 70 <= j}
+
+
 def test_near_vectors_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 40)
     rng, rows = np.random.default_rng(1), []
