@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 EPSILON = 1e-6
 
+QUERY_BLOCK = 16_384
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -45,9 +47,14 @@ def degenerate(v: Column) -> Column:
 
 
 def search(vectors: DataFrame, queries: DataFrame, limit: int, exact: bool = True) -> DataFrame:
-    """``query_id, id, rank`` by cosine of the stored codes. ``queries(query_id, q)`` is of query size and broadcast; its batch is one
-    pass over the store, and the top k is taken within each task before the shuffle. Widths must agree; zero codes are left out."""
-    pairs = vectors.join(F.broadcast(queries), F.size("v") == F.size("q"))
+    """``query_id, id, rank`` by cosine of the stored codes. ``queries(query_id, q)`` are dealt to blocks of about QUERY_BLOCK, each of
+    them broadcast for one pass over the store, and the top k is taken within each task before the shuffle. Widths must agree; zero codes are left out."""
+    rounds = max(1, -(-queries.count() // QUERY_BLOCK))
+    blocks = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r) for r in range(rounds)] if rounds > 1 else [queries]
+    pairs = None
+    for block in blocks:
+        met = vectors.join(F.broadcast(block), F.size("v") == F.size("q"))
+        pairs = met if pairs is None else pairs.unionByName(met)
     d = int_dot(F.col("q"), F.col("v")) if exact else dot(F.col("q"), F.col("v")) / (norm(F.col("q")) * norm(F.col("v")))
     scored = pairs.select("query_id", "id", d.alias("d"), (int_dot(F.col("v"), F.col("v")) if exact else F.lit(1)).alias("n2"))
     scored = scored.where("n2 > 0 and d is not null and not isnan(d)")

@@ -84,19 +84,13 @@ edges AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT)
 
 
 def doc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bag ``from_doc, to_doc`` of every 50th order key among 200 documents, as DOC_EDGES_SQL has it."""
-    li = table(spark, sf_dir, "lineitem")
-    return li.where("l_orderkey % 50 = 0").select(F.pmod("l_partkey", F.lit(200)).alias("from_doc"), F.pmod(F.col("l_suppkey") * 7, F.lit(200)).alias("to_doc")).where("from_doc <> to_doc")
-
-
-def all_doc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bag ``from_doc, to_doc``: each line of an order links its part to its supplier's number, both folded into the number of documents."""
     n = F.lit(max(1, table(spark, sf_dir, "documents").count()))
     li = table(spark, sf_dir, "lineitem")
     return li.select(F.pmod("l_partkey", n).alias("from_doc"), F.pmod(F.col("l_suppkey") * 7, n).alias("to_doc")).where("from_doc <> to_doc")
 
 
-DOC_EDGES_SQL = "links AS (SELECT l_partkey % 200 AS from_doc, (l_suppkey * 7) % 200 AS to_doc FROM lineitem WHERE l_orderkey % 50 = 0 AND l_partkey % 200 <> (l_suppkey * 7) % 200)"
+DOC_EDGES_SQL = """links AS (SELECT l_partkey % n AS from_doc, (l_suppkey * 7) % n AS to_doc FROM lineitem, (SELECT greatest(1, count(*)) AS n FROM documents) WHERE l_partkey % n <> (l_suppkey * 7) % n)"""
 
 
 def sql_list(values) -> str:

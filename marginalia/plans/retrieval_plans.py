@@ -102,14 +102,14 @@ def _(spark, d):
     return ranking.gate(hits).select("query_id", "rank", "block_id", "covered")
 
 
-# ---- vectors: each vector is a stored one, the first eight are queries
+# ---- vectors: each vector is a stored one, those with ids divisible by 20 are queries
 
 VEC_SQL = """
 q0 AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS FLOAT)) AS e FROM embeddings),
 m AS (SELECT *, list_max(list_transform(e, lambda x: abs(x))) AS top FROM q0),
 codes AS MATERIALIZED (SELECT vec_id AS id, label, e, list_transform(e, lambda x: greatest(-127, least(127, CAST(round_even(CAST(CAST(CAST(x / top AS FLOAT) * CAST(127 AS FLOAT) AS FLOAT) AS DOUBLE), 0) AS INTEGER)))) AS v FROM m)"""
 COSINE_SQL = VEC_SQL + """,
-pairs AS (SELECT q.id AS query_id, c.id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS d, CAST(list_dot_product(c.v, c.v) AS BIGINT) AS n2 FROM codes q, codes c WHERE q.id < 8),
+pairs AS (SELECT q.id AS query_id, c.id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS d, CAST(list_dot_product(c.v, c.v) AS BIGINT) AS n2 FROM codes q, codes c WHERE q.id % 20 = 0),
 keyed AS (SELECT *, sign(d) * ((CAST(d AS HUGEINT) * d * CAST(1000000000000000000 AS HUGEINT)) // n2) AS key FROM pairs WHERE n2 > 0),
 semantic AS (SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY key DESC, id) AS rank FROM keyed)"""
 
@@ -120,7 +120,7 @@ def _codes(spark, d):
 
 def _semantic(spark, d, limit):
     c = _codes(spark, d)
-    return vectors.search(c.select("id", "v"), c.where("id < 8").select(F.col("id").alias("query_id"), F.col("v").alias("q")), limit)
+    return vectors.search(c.select("id", "v"), c.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), limit)
 
 
 @query("v1_v2_normalise_dot", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT vec_id, round(sqrt(list_dot_product(e, e)), 6) AS norm, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first FROM e")
@@ -154,18 +154,19 @@ def _(spark, d):
     return _semantic(spark, d, 20).select("query_id", "id", "d", "rank")
 
 
-@query("v7_float_cosine", """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.id AS query_id, c.id, round(list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))), 12) AS key FROM e q, e c WHERE q.id < 8),
+@query("v7_float_cosine", """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.id AS query_id, c.id, round(list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))), 12) AS key FROM e q, e c WHERE q.id % 20 = 0),
 r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY key DESC, id) AS rank FROM p) SELECT * FROM r WHERE rank <= 20""")
 def _(spark, d):
     c = base.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return vectors.search(c, c.where("id < 8").select(F.col("id").alias("query_id"), F.col("v").alias("q")), 20, exact=False).select("query_id", "id", "rank")
+    return vectors.search(c, c.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), 20, exact=False).select("query_id", "id", "rank")
 
 
-@query("v9_rrf", f"WITH {COSINE_SQL}, l AS (SELECT query_id, id, rank FROM semantic WHERE rank <= 30 UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) FROM keyed WHERE id % 11 = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 30), f AS (SELECT query_id, id, round(sum(CAST(1 AS DOUBLE) / (2 + rank)), 12) AS fused FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS rank FROM f) SELECT query_id, id, rank FROM r WHERE rank <= 20")
+@query("v9_rrf", f"WITH {COSINE_SQL}, l AS (SELECT query_id, id, rank FROM semantic WHERE rank <= 30 UNION ALL SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) FROM keyed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 30), f AS (SELECT query_id, id, round(sum(CAST(1 AS DOUBLE) / (2 + rank)), 12) AS fused FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS rank FROM f) SELECT query_id, id, rank FROM r WHERE rank <= 20")
 def _(spark, d):
     s = _semantic(spark, d, 30)
-    c = base.table(spark, d, "embeddings").where("vec_id % 11 = 0").select(F.col("vec_id").alias("id"))
-    other = spark.range(8).select(F.col("id").alias("query_id")).crossJoin(c).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where("rank <= 30")
+    c = base.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
+    first = c.orderBy("id").limit(30).withColumn("rank", F.row_number().over(Window.orderBy("id")))  # 30 rows
+    other = c.where("id % 20 = 0").select(F.col("id").alias("query_id")).crossJoin(F.broadcast(first))
     return vectors.fuse([s, other], 2.0, 20).select("query_id", "id", "rank")
 
 
@@ -271,14 +272,14 @@ def _(spark, d):
     return pipeline.ranked(base.blocks(spark, d), None, SEARCHES, 8, prefixes=["src1", "src0"])
 
 
-@query("v20_ir_metrics", f"""WITH {COSINE_SQL}, rel AS (SELECT q.id AS query_id, c.id AS doc_id FROM codes q JOIN codes c ON q.label = c.label AND q.id <> c.id WHERE q.id < 8),
+@query("v20_ir_metrics", f"""WITH {COSINE_SQL}, rel AS (SELECT q.id AS query_id, c.id AS doc_id FROM codes q JOIN codes c ON q.label = c.label AND q.id <> c.id WHERE q.id % 20 = 0),
 rk AS (SELECT query_id, id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM semantic WHERE query_id <> id AND rank <= 101),
 h AS (SELECT rk.* FROM rk JOIN rel USING (query_id, doc_id)), n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1),
 g AS (SELECT query_id, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) END) AS dcg, count(*) FILTER (WHERE rank <= 100) AS found, min(CASE WHEN rank <= 10 THEN rank END) AS first FROM h GROUP BY 1)
 SELECT n.query_id, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, CAST(least(n, 10) AS INTEGER) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg, round(coalesce(found, 0) / n, 6) AS recall, round(coalesce(1.0 / first, 0), 6) AS mrr FROM n LEFT JOIN g USING (query_id)""")
 def _(spark, d):
     c = _codes(spark, d).select("id", "label")
-    q = c.where("id < 8").select(F.col("id").alias("query_id"), "label")
+    q = c.where("id % 20 = 0").select(F.col("id").alias("query_id"), "label")
     rel = F.broadcast(q).join(c, "label").where("query_id <> id").select("query_id", F.col("id").alias("doc_id"))
     ranked = _semantic(spark, d, 101).where("query_id <> id").select("query_id", F.col("id").alias("doc_id"), F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank"))
     return ranking.ir_metrics(ranked, rel)
@@ -293,10 +294,10 @@ def _(spark, d):
 
 @query("t5_f6_find", """WITH s AS (SELECT 'symbol' AS kind, p_name AS name, p_brand || '/' || p_partkey AS path, CASE WHEN n = 'redwidget' THEN 100 WHEN starts_with(n, 'redwidget') THEN 60 WHEN contains(n, 'redwidget') THEN 30 END + p_size / CAST(25 AS DOUBLE) AS score
   FROM (SELECT *, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS n FROM part)),
-f AS (SELECT 'file' AS kind, c_mktsegment || '/redwidget' || c_custkey || '.py' AS name, c_mktsegment || '/redwidget' || c_custkey || '.py' AS path, CAST(25 AS DOUBLE) AS score FROM customer WHERE c_custkey % 100 = 0),
+f AS (SELECT 'file' AS kind, c_mktsegment || '/redwidget' || c_custkey || '.py' AS name, c_mktsegment || '/redwidget' || c_custkey || '.py' AS path, CAST(25 AS DOUBLE) AS score FROM customer),
 u AS (SELECT * FROM (SELECT kind, name, path, round(score, 6) AS score FROM s WHERE score IS NOT NULL ORDER BY 4 DESC, path, name LIMIT 20) UNION ALL SELECT * FROM (SELECT * FROM f ORDER BY score DESC, path, name LIMIT 20))
 SELECT * FROM u ORDER BY score DESC, path, name LIMIT 20""")
 def _(spark, d):
     p = base.table(spark, d, "part").select(F.col("p_name").alias("name"), F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_size").cast("double").alias("rank_pct"))
-    files = base.table(spark, d, "customer").where("c_custkey % 100 = 0").select(F.concat("c_mktsegment", F.lit("/redwidget"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), F.lit(None).cast("double").alias("rank_pct"))
+    files = base.table(spark, d, "customer").select(F.concat("c_mktsegment", F.lit("/redwidget"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), F.lit(None).cast("double").alias("rank_pct"))
     return ranking.find(p, files, "Red-Widget", 20)

@@ -106,14 +106,14 @@ def _(spark, d):
     return base.docs(spark, d).select("doc_id", T.clamp(F.col("text"), 40).alias("short"))
 
 
-@query("p27_condense", """WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 120 AS INTEGER) AS n, CASE o_orderkey % 3 WHEN 0 THEN 'vcs' WHEN 1 THEN 'verification' ELSE 'generic' END AS family FROM orders WHERE o_orderkey < 3000),
+@query("p27_condense", """WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 120 AS INTEGER) AS n, CASE o_orderkey % 3 WHEN 0 THEN 'vcs' WHEN 1 THEN 'verification' ELSE 'generic' END AS family FROM orders),
 l AS (SELECT *, list_transform(range(1, n + 2), lambda i: 'line ' || i) AS ls, CASE family WHEN 'vcs' THEN 10 ELSE 20 END AS keep FROM o),
 t AS (SELECT *, array_to_string(ls, chr(10)) AS whole, len(ls) - 40 - keep AS gone FROM l),
 s AS (SELECT *, array_to_string(ls[1:40] || ['… ' || gone || ' line(s) elided …'] || ls[len(ls) - keep + 1:], chr(10)) AS short FROM t),
 b AS (SELECT *, family <> 'verification' AND len(ls) >= 70 AND (octet_length(encode(whole)) - octet_length(encode(short))) / octet_length(encode(whole)) >= 0.3 AS does FROM s)
 SELECT o_orderkey, CASE WHEN does THEN short ELSE whole END AS text, CAST(CASE WHEN does THEN gone ELSE 0 END AS BIGINT) AS elided FROM b""")
 def _(spark, d):
-    o = base.table(spark, d, "orders").where("o_orderkey < 3000")
+    o = base.table(spark, d, "orders")
     family = F.when(F.col("o_orderkey") % 3 == 0, "vcs").when(F.col("o_orderkey") % 3 == 1, "verification").otherwise("generic")
     whole = F.array_join(F.transform(F.sequence(F.lit(1), (F.col("o_orderkey") % 120 + 1).cast("int")), lambda i: F.concat(F.lit("line "), i.cast("string"))), "\n")
     return o.select("o_orderkey", T.condense(whole, family).alias("c")).select("o_orderkey", "c.text", "c.elided")
@@ -136,17 +136,17 @@ def _(spark, d):
     return base.docs(spark, d).select("doc_id", F.coalesce(T.token_bucket(T.token_estimate(F.col("text"))), F.lit(-1)).cast("int").alias("bucket"))
 
 
-@query("p35_p36_rendering", "SELECT c_custkey, 'Customer-' || lpad(CAST(c_custkey AS VARCHAR), 3, '0') || '-x' AS host, '---' || chr(10) || 'id: c' || c_custkey AS head FROM customer WHERE c_custkey < 900")
+@query("p35_p36_rendering", "SELECT c_custkey, 'Customer-' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') || '-x' AS host, '---' || chr(10) || 'id: c' || c_custkey AS head FROM customer")
 def _(spark, d):
-    c = base.table(spark, d, "customer").where("c_custkey < 900")
-    raw = F.concat(F.lit("Customer#"), F.lpad(F.col("c_custkey").cast("string"), 3, "0"), F.lit(".x"))
+    c = base.table(spark, d, "customer")
+    raw = F.concat(F.lit("Customer#"), F.lpad(F.col("c_custkey").cast("string"), 12, "0"), F.lit(".x"))
     note = documents.render_candidate(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.lit("r"), F.lit("s"), F.lit("h"), F.lit(1), F.lit("k"), F.lit("{}"))
     return c.select("c_custkey", T.host_name(raw).alias("host"), F.substring_index(note, "\n", 2).alias("head"))
 
 
-@query("p37_human_bytes", f"WITH {DOCS_SQL} SELECT doc_id, CASE WHEN size < 1024 THEN size || ' B' ELSE NULL END AS shown FROM docs WHERE size < 1024")
+@query("p37_human_bytes", f"WITH {DOCS_SQL} SELECT doc_id, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN format('{{:,.1f}} KiB', size / 1024.0::DOUBLE) ELSE format('{{:,.1f}} MiB', size / 1048576.0::DOUBLE) END AS shown FROM docs")
 def _(spark, d):
-    return base.docs(spark, d).where("size < 1024").select("doc_id", T.human_bytes(F.col("size")).alias("shown"))
+    return base.docs(spark, d).select("doc_id", T.human_bytes(F.col("size")).alias("shown"))
 
 
 @query("p38_position_cost", "SELECT conv_id, sum(CAST(ceil(octet_length(encode(text)) / CAST(3.5 AS DOUBLE)) AS BIGINT) * greatest(0, 5 - turn)) AS cost FROM conversations GROUP BY 1")
@@ -224,10 +224,10 @@ def _(spark, d):
     return base.docs(spark, d).select("doc_id", F.coalesce(T.frontmatter_ring(text), F.lit(-1)).alias("ring"))
 
 
-@query("p4_p5_private", f"WITH {DOCS_SQL} SELECT doc_id, md5(substr(text, 1, 50) || 'end') AS stripped, length(text) + 41 AS blanked, false AS unbalanced FROM docs")
+@query("p4_p5_private", f"WITH {DOCS_SQL} SELECT doc_id, md5(text || 'end') AS stripped, length(text) + 41 AS blanked, false AS unbalanced FROM docs")
 def _(spark, d):
     x = base.docs(spark, d)
-    body = F.concat(F.substring("text", 1, 50), F.lit("<private>a<private>b</private></private>"), F.lit("end"))
+    body = F.concat("text", F.lit("<private>a<private>b</private></private>"), F.lit("end"))
     whole = F.concat("text", F.lit("<private>x\ny</private>."), F.lit("tail of text 123456"[:18]))
     return x.select("doc_id", F.md5(markdown.without_private(body)).alias("stripped"), F.char_length(markdown.blanked_private(whole)).cast("long").alias("blanked"), markdown.private_unbalanced(body).alias("unbalanced"))
 
@@ -278,11 +278,11 @@ def _(spark, d):
     return catalog.concentrations(base.docs(spark, d), 0.02)
 
 
-@query("l4_l6_mirrors_and_copies", f"""WITH {BLOCKS_SQL}, r AS (SELECT cite, chain, ring, path, block_id AS rank, split_part(cite, '-', 2) AS h FROM blocks WHERE length(text) < 200),
+@query("l4_l6_mirrors_and_copies", f"""WITH {BLOCKS_SQL}, r AS (SELECT cite, chain, ring, path, block_id AS rank, split_part(cite, '-', 2) AS h FROM blocks),
 g AS (SELECT h, chain, min(rank) AS rank, arg_min(path, ring * CAST(1000000000000 AS BIGINT) + rank) AS path, min(ring) AS ring, list_distinct(list(path)) AS ps FROM r GROUP BY h, chain)
 SELECT h, chain, rank, path, ring, array_to_string(list_sort(list_filter(ps, lambda p: p <> path)), ',') AS mirrors FROM g""")
 def _(spark, d):
-    hits = base.blocks(spark, d).where(F.char_length("text") < 200).select("cite", "chain", "ring", "path", F.col("block_id").alias("rank"))
+    hits = base.blocks(spark, d).select("cite", "chain", "ring", "path", F.col("block_id").alias("rank"))
     return catalog.dedup_mirrors(hits).select(T.cite_hash(F.col("cite")).alias("h"), "chain", "rank", "path", "ring", F.array_join("mirrors", ",").alias("mirrors"))
 
 
@@ -296,7 +296,7 @@ def _(spark, d):
 def _(spark, d):
     x = base.docs(spark, d)
     n = (F.col("doc_id") * 2).cast("string")
-    targets = x.select("doc_id", F.concat(F.lit("D"), n).alias("target")).where("doc_id > 0").unionByName(x.limit(3).select("doc_id", F.lit("nowhere.md").alias("target"))).unionByName(x.where("doc_id = 0").select("doc_id", F.lit("d0").alias("target")))
+    targets = x.select("doc_id", F.concat(F.lit("D"), n).alias("target")).where("doc_id > 0").unionByName(x.select("doc_id", F.lit("nowhere.md").alias("target"))).unionByName(x.where("doc_id = 0").select("doc_id", F.lit("d0").alias("target")))
     return catalog.resolve_links(x, targets).unionByName(x.where("doc_id = 0").select(F.col("doc_id").alias("from_doc"), F.col("doc_id").alias("to_doc")))
 
 
@@ -306,9 +306,9 @@ def _(spark, d):
     return catalog.graph_degrees(base.doc_edges(spark, d), base.docs(spark, d))
 
 
-@query("g26_unresolved", "SELECT (SELECT count(*) FROM lineitem WHERE l_orderkey % 50 = 0) - (SELECT count(*) FROM lineitem WHERE l_orderkey % 50 = 0 AND l_partkey % 200 <> (l_suppkey * 7) % 200) AS unresolved")
+@query("g26_unresolved", "WITH "+base.DOC_EDGES_SQL+" SELECT (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM links) AS unresolved")
 def _(spark, d):
-    return catalog.unresolved(base.table(spark, d, "lineitem").where("l_orderkey % 50 = 0"), base.doc_edges(spark, d))
+    return catalog.unresolved(base.table(spark, d, "lineitem"), base.doc_edges(spark, d))
 
 
 @query("p29_prohibitions", f"""WITH {DOCS_SQL}, p AS (SELECT * FROM (VALUES (1, 'r1', 'aakia'), (2, 'r2', 'the and'), (3, 'r2', 'license'), (4, 'r3', 'token=abcd'), (5, 'r3', 'token=the ')) t(ord, rule, pattern)),
@@ -435,9 +435,9 @@ def _(spark, d):
     return documents.import_bugs(c.select(F.to_json(F.struct(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("B "), F.col("c_custkey").cast("string"))).alias("id"), F.col("c_name").alias("title"))).alias("json")))
 
 
-@query("a17_staging_roundtrip", f"WITH {base.EVENTS_SQL} SELECT 'c' || pos AS id, 'hot-file' AS reason, session, host, ts, kind FROM evs WHERE pos < 500")
+@query("a17_staging_roundtrip", f"WITH {base.EVENTS_SQL} SELECT 'c' || pos AS id, 'hot-file' AS reason, session, host, ts, kind FROM evs")
 def _(spark, d):
-    e = base.events(spark, d).where("pos < 500")
+    e = base.events(spark, d)
     note = documents.render_candidate(F.concat(F.lit("c"), F.col("pos").cast("string")), F.lit("hot-file"), F.col("session"), F.col("host"), F.col("ts"), F.col("kind"), F.lit('{"a": 1}'))
     return documents.parse_candidates(e.select(F.lit("p").alias("path"), note.alias("text"))).select("id", "reason", "session", "host", "ts", "kind")
 
