@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+SMALL = 256 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -14,9 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of ``SMALL`` bytes at most dealt to all cores: its file may be a single row group, which one task reads. Larger ones stay as they are."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(size) <= SMALL else df
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, path, ring, lang, size, text``: source/language/number as the path, the source's number as the ring."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     path = F.concat("source", F.lit("/"), "lang", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".md"))
     ring = F.pmod(F.regexp_extract("source", "([0-9]+)", 1).cast("int"), F.lit(5))
     return d.select("doc_id", path.alias("path"), ring.alias("ring"), "lang", F.octet_length("text").cast("long").alias("size"), "text")
@@ -61,16 +68,8 @@ bash AS (SELECT * FROM evs WHERE kind = 'bash')"""
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edges of every 97th order key, as EDGES_SQL has them."""
-    return _nation_edges(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0"))
-
-
-def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nation_edges(spark, sf_dir, table(spark, sf_dir, "orders"))
-
-
-def _nation_edges(spark: SparkSession, sf_dir: str, o: DataFrame) -> DataFrame:
     """Nation to nation: a customer's nation to the nation of each supplier of its orders; an edge bag ``src, dst``."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
@@ -79,8 +78,18 @@ def _nation_edges(spark: SparkSession, sf_dir: str, o: DataFrame) -> DataFrame:
 
 
 EDGES_SQL = """
-edges AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderkey % 97 = 0)"""
+edges AS MATERIALIZED (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
+
+
+def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer to customer: the buyer of each order to the customer whose number its key folds to; an edge bag ``src, dst``."""
+    n = F.lit(max(1, table(spark, sf_dir, "customer").count()))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("src"), F.pmod("o_orderkey", n).cast("long").alias("dst"))
+
+
+ORDER_EDGES_SQL = """
+edges AS MATERIALIZED (SELECT CAST(o_custkey AS BIGINT) AS src, CAST(o_orderkey % n AS BIGINT) AS dst FROM orders, (SELECT greatest(1, count(*)) AS n FROM customer))"""
 
 
 def doc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

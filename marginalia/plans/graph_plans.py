@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import code, graph, logs
 from ..streaming import sessions
 from . import base
-from .base import EDGES_SQL
+from .base import EDGES_SQL, ORDER_EDGES_SQL
 from .registry import query
 
 _NEXT = "nx AS (SELECT DISTINCT src AS node, dst AS nxt FROM edges WHERE src <> dst)"
@@ -24,30 +24,30 @@ l{i} AS (SELECT node, {i} AS level, row_number() OVER (ORDER BY o, node) AS ord,
     return ",\n".join(parts)
 
 
-@query("c7_bfs", f"WITH {EDGES_SQL}, {_NEXT}, {_levels(4, 'nx')} SELECT node, CAST(level AS INTEGER) AS level, ord, coalesce(via, -1) AS via FROM s4")
+@query("c7_bfs", f"WITH {ORDER_EDGES_SQL}, {_NEXT}, {_levels(4, 'nx')} SELECT node, CAST(level AS INTEGER) AS level, ord, coalesce(via, -1) AS via FROM s4")
 def _(spark, d):
-    return graph.bfs(base.edges(spark, d), 0, 4).withColumn("via", F.coalesce("via", F.lit(-1)))
+    return graph.bfs(base.order_edges(spark, d), 0, 4).withColumn("via", F.coalesce("via", F.lit(-1)))
 
 
-@query("c7_shortest_path", f"WITH RECURSIVE {EDGES_SQL}, {_NEXT}, {_levels(6, 'nx')}, w AS (SELECT node, level, via FROM s6 WHERE node = 24 UNION ALL SELECT s.node, s.level, s.via FROM w JOIN s6 s ON s.node = w.via) SELECT CAST(level AS INTEGER) AS step, node FROM w")
+@query("c7_shortest_path", f"WITH RECURSIVE {ORDER_EDGES_SQL}, {_NEXT}, {_levels(6, 'nx')}, w AS (SELECT node, level, via FROM s6 WHERE node = 24 UNION ALL SELECT s.node, s.level, s.via FROM w JOIN s6 s ON s.node = w.via) SELECT CAST(level AS INTEGER) AS step, node FROM w")
 def _(spark, d):
-    return graph.shortest_path(base.edges(spark, d), 0, 24, 6)
+    return graph.shortest_path(base.order_edges(spark, d), 0, 24, 6)
 
 
 _IN = "nx AS (SELECT DISTINCT dst AS node, src AS nxt FROM edges WHERE src <> dst)"
 
 
-@query("c8_impact", f"WITH {EDGES_SQL}, {_IN}, {_levels(4, 'nx')} SELECT node, CAST(level AS INTEGER) AS level, via, CAST((SELECT count(*) FROM s4 WHERE level > 0) AS INTEGER) AS total, CAST(greatest(0, (SELECT count(*) FROM s4 WHERE level > 0) - 10) AS INTEGER) AS omitted FROM s4 WHERE level > 0 ORDER BY level, node LIMIT 10")
+@query("c8_impact", f"WITH {ORDER_EDGES_SQL}, {_IN}, {_levels(4, 'nx')} SELECT node, CAST(level AS INTEGER) AS level, via, CAST((SELECT count(*) FROM s4 WHERE level > 0) AS INTEGER) AS total, CAST(greatest(0, (SELECT count(*) FROM s4 WHERE level > 0) - 10) AS INTEGER) AS omitted FROM s4 WHERE level > 0 ORDER BY level, node LIMIT 10")
 def _(spark, d):
-    return graph.impact(base.edges(spark, d), 0, 4, 10)
+    return graph.impact(base.order_edges(spark, d), 0, 4, 10)
 
 
 _BOTH = "nx AS (SELECT DISTINCT * FROM (SELECT src AS node, dst AS nxt FROM edges UNION ALL SELECT dst, src FROM edges) WHERE node <> nxt)"
 
 
-@query("c9_context", f"WITH {EDGES_SQL}, {_BOTH}, {_levels(2, 'nx')} SELECT node, CAST(level AS INTEGER) AS level, via, CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.src = s.via AND e.dst = s.node) THEN 'uses' ELSE 'used-by' END AS relation FROM s2 s WHERE level > 0 ORDER BY level, node LIMIT 50")
+@query("c9_context", f"WITH {ORDER_EDGES_SQL}, {_BOTH}, {_levels(2, 'nx')} SELECT node, CAST(level AS INTEGER) AS level, via, CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.src = s.via AND e.dst = s.node) THEN 'uses' ELSE 'used-by' END AS relation FROM s2 s WHERE level > 0 ORDER BY level, node LIMIT 50")
 def _(spark, d):
-    return graph.context(base.edges(spark, d), 0, 2, 50)
+    return graph.context(base.order_edges(spark, d), 0, 2, 50)
 
 
 def _pagerank_sql(restart: str = "1.0 / 25") -> str:
@@ -83,7 +83,7 @@ def _(spark, d):
 @query("c14_t6_repo_map")
 def _(spark, d):
     symbols = base.table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("node"), F.col("c_name").alias("name"), F.col("c_custkey").alias("start_line"))
-    return graph.repo_map(_nodes(spark, d), base.all_edges(spark, d), symbols, None, 400)
+    return graph.repo_map(_nodes(spark, d), base.edges(spark, d), symbols, None, 400)
 
 
 @query("c16_t9_knowledge_graph", f"""WITH {base.DOCS_SQL.strip()}, {base.DOC_EDGES_SQL}, e AS (SELECT DISTINCT * FROM links), x AS (SELECT d.doc_id, path, ring, (SELECT count(*) FROM e WHERE to_doc = d.doc_id) AS inbound, (SELECT count(*) FROM e WHERE from_doc = d.doc_id) AS outbound FROM docs d)
@@ -128,14 +128,15 @@ def _(spark, d):
 
 # ---- code: one small module for each part, which imports the next one
 
-_SOURCES = "concat('from .m', (p_partkey + 1) % 50, ' import run as go\nimport os\n\nclass Box:\n    def open(self):\n        return go(', p_size, ')\n\ndef run(x):\n    return x\n')"
+_SOURCES = "concat('from .m', (p_partkey + 1) % {n}, ' import run as go\nimport os\n\nclass Box:\n    def open(self):\n        return go(', p_size, ')\n\ndef run(x):\n    return x\n')"
 
 
 def _modules(spark, d):
-    return base.table(spark, d, "part").where("p_partkey < 50").select(F.concat(F.lit("pkg/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.expr(_SOURCES).alias("source"))
+    parts = base.table(spark, d, "part")
+    return parts.select(F.concat(F.lit("pkg/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.expr(_SOURCES.format(n=max(1, parts.count()))).alias("source"))
 
 
-_M = "m AS (SELECT p_partkey AS i, 'pkg/m' || p_partkey || '.py' AS path FROM part WHERE p_partkey < 50)"
+_M = "m AS (SELECT p_partkey AS i, 'pkg/m' || p_partkey || '.py' AS path FROM part)"
 
 
 @query("c1_symbols", f"WITH {_M} SELECT path, name, kind, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line, CAST(coalesce(p, 0) AS INTEGER) AS parent FROM m, (VALUES ('Box', 'class', 4, 6, NULL), ('open', 'function', 5, 6, 4), ('run', 'function', 8, 9, NULL)) s(name, kind, a, b, p)")
@@ -148,12 +149,12 @@ def _(spark, d):
     return code.use_table(_modules(spark, d)).select("path", "name", "relation", "start_line")
 
 
-@query("c3_imports", f"WITH {_M} SELECT path AS src, 'pkg/m' || ((i + 1) % 50) || '.py' AS dst, 1 AS start_line FROM m")
+@query("c3_imports", f"WITH {_M} SELECT path AS src, 'pkg/m' || ((i + 1) % (SELECT count(*) FROM part)) || '.py' AS dst, 1 AS start_line FROM m")
 def _(spark, d):
     return code.import_tables(_modules(spark, d))[0]
 
 
-@query("c10_j9_j10_symbol_context", f"WITH {_M} SELECT relation, path, name, CAST(line AS INTEGER) AS start_line FROM (SELECT 'calls' AS relation, path, 'open' AS name, 6 AS line FROM m)")
+@query("c10_j9_j10_symbol_context", f"WITH {_M} SELECT relation, path, name, CAST(line AS INTEGER) AS start_line FROM (SELECT 'calls' AS relation, path, 'open' AS name, 6 AS line FROM m) ORDER BY path LIMIT 1000")
 def _(spark, d):
     files = _modules(spark, d)
     symbols, uses = code.symbol_table(files), code.use_table(files)
