@@ -40,36 +40,39 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-def phrase_count(tokens: Column, phrase: Column, prefix: Column) -> Column:
-    """Places where the phrase stands: all words adjacent, the last one opening a word where ``prefix``."""
-    n = F.size(phrase)
-    last = F.element_at(phrase, -1)
-    places = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    ends = lambda i: F.element_at(tokens, i + n - 1)
-    fits = lambda i: (F.startswith(ends(i), last) & (prefix | (ends(i) == last))) & ((n == 1) | (F.slice(tokens, i, n - 1) == F.slice(phrase, F.lit(1), n - 1)))
-    return F.size(F.filter(places, fits))
+def spaced(tokens: Column) -> Column:
+    """The words between single spaces, one before the first and one after the last, so that a phrase is found as plain text."""
+    return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+
+
+def phrase_count(words_: Column, needle: Column) -> Column:
+    """Places where the phrase stands in ``spaced`` words; such places may overlap, so they are counted by a look-ahead."""
+    places = F.size(F.regexp_extract_all(words_, F.concat(F.lit("(?="), needle, F.lit(")")), F.lit(0)))
+    return F.when(F.contains(words_, needle), places).otherwise(0)
 
 
 def score(blocks: DataFrame, phrases: DataFrame) -> DataFrame:
     """``query_id, block_id, ring, score`` of every matching block, smaller being better.
 
     ``blocks``: ``block_id, text, ctx, ring``. The phrases are those of the queries, a table of query size, so matching is one
-    broadcast pass over the blocks; document frequencies are counted from its (block, phrase) rows, which the statistics of
-    all blocks join as one row. Blocks without a match are never shuffled."""
+    broadcast pass over the blocks, a search of plain text for each phrase. What matches is combined to one row per (query, block)
+    within its task and shuffled once; document frequencies and scores both read that shuffle. Blocks without a match are never shuffled."""
     base = blocks.select("block_id", "ring", words(F.col("text")).alias("_t"), words(F.coalesce("ctx", F.lit(""))).alias("_c"))
-    base = base.withColumn("len", F.size("_t") + F.size("_c"))
+    base = base.select("block_id", "ring", (F.size("_t") + F.size("_c")).alias("len"), spaced(F.col("_t")).alias("_t"), spaced(F.col("_c")).alias("_c"))
     stats = base.agg(F.count("*").alias("n_all"), F.avg("len").alias("avg_len"))
-    first = lambda w: F.element_at(F.col("words"), 1)
-    # any word that opens with the first word of the phrase: cheap to test before the phrase is counted
-    hit = base.join(F.broadcast(phrases), F.exists(F.concat("_t", "_c"), lambda w: F.startswith(w, first(w))))
-    tf = phrase_count(F.col("_t"), F.col("words"), F.col("prefix")), phrase_count(F.col("_c"), F.col("words"), F.col("prefix"))
-    hit = hit.select("query_id", "phrase_id", "block_id", "ring", "len", (tf[0] + F.lit(CTX_WEIGHT) * tf[1]).alias("tf")).where("tf > 0")
-    df = hit.groupBy("query_id", "phrase_id").agg(F.count("*").alias("n"))
+    needles = phrases.select("query_id", "phrase_id", F.concat(F.lit(" "), F.array_join("words", " "), F.when(F.col("prefix"), "").otherwise(" ")).alias("needle"))
+    needle = F.col("needle")
+    hit = base.join(F.broadcast(needles), F.contains("_t", needle) | F.contains("_c", needle))
+    tf = phrase_count(F.col("_t"), needle) + F.lit(CTX_WEIGHT) * phrase_count(F.col("_c"), needle)
+    hit = hit.groupBy("query_id", "block_id", "ring", "len").agg(F.collect_list(F.struct("phrase_id", tf.alias("tf"))).alias("hits"))
+    df = hit.select("query_id", F.explode("hits.phrase_id").alias("phrase_id")).groupBy("query_id", "phrase_id").agg(F.count("*").alias("n"))
     idf = F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weights = df.crossJoin(F.broadcast(stats)).select("query_id", "phrase_id", "avg_len", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf).alias("idf"))
+    weighed = df.crossJoin(F.broadcast(stats)).select("query_id", "avg_len", F.struct("phrase_id", F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)).alias("idf"))
+    weights = weighed.groupBy("query_id", "avg_len").agg(F.map_from_entries(F.collect_list("idf")).alias("idf"))
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("len") / F.col("avg_len"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    return hit.join(F.broadcast(weights), ["query_id", "phrase_id"]).groupBy("query_id", "block_id", "ring").agg((-F.sum(part)).alias("score"))
+    part = lambda h: F.col("idf")[h["phrase_id"]] * h["tf"] * (K1 + 1) / (h["tf"] + norm)
+    total = F.aggregate("hits", F.lit(0.0), lambda acc, h: acc - part(h))
+    return hit.join(F.broadcast(weights), "query_id").select("query_id", "block_id", "ring", total.alias("score"))
 
 
 def rank(scored: DataFrame, limit: int | None = None, digits: int = 9) -> DataFrame:
