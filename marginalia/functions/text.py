@@ -119,6 +119,22 @@ def slice_of(path: Column, slices: list[tuple[str, str]]) -> Column:
     return out
 
 
+def prefixes_of(slices: list[tuple[str, str]], name: str | None) -> list[str]:
+    """Prefixes of a slice by name. No name, or ``root``, restricts nothing; an unknown name raises before anything is read."""
+    if name is None or name == "root":
+        return []
+    found = [prefix for n, prefix in slices if n == name]
+    if not found:
+        known = ", ".join(dict.fromkeys(n for n, _ in slices)) or "none"
+        raise ValueError(f"no slice named {name!r} (configured: {known})")
+    return found
+
+
+def in_slice(path: Column, slices: list[tuple[str, str]], name: str | None) -> Column:
+    prefixes = prefixes_of(slices, name)
+    return under_prefix(path, prefixes) if prefixes else F.lit(True)
+
+
 # Path components and file names that may hold credentials.
 SECRET_FOLDERS = ("secrets", ".ssh", ".gnupg", ".aws")
 

@@ -265,3 +265,16 @@ def prune_edges(edges: DataFrame, files: DataFrame) -> DataFrame:
     """Edges whose two ends still exist."""
     live = files.select("path")
     return edges.join(live.withColumnRenamed("path", "src"), "src", "left_semi").join(live.withColumnRenamed("path", "dst"), "dst", "left_semi")
+
+
+def code_roots(files: DataFrame, roots: list[str]) -> DataFrame:
+    """``path, root, relative`` of the files below a root, each once: the first root that holds a file has it, though a later one may be deeper.
+
+    Roots are configuration, so they become one expression: no join and, but for repeated files, no shuffle."""
+    if not roots:
+        raise ValueError("no code roots configured")
+    found = F.lit(None).cast("struct<root:int,relative:string>")
+    for i, root in reversed(list(enumerate(r.rstrip("/") for r in roots))):
+        held = F.startswith("path", F.lit(root + "/"))
+        found = F.when(held, F.struct(F.lit(i).alias("root"), F.substring("path", len(root) + 2, 1 << 30).alias("relative"))).otherwise(found)
+    return files.select("path", found.alias("at")).where("at is not null").select("path", "at.root", "at.relative").distinct()

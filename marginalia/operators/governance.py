@@ -61,3 +61,14 @@ def innermost(paths: DataFrame, slices: DataFrame) -> DataFrame:
     hit = paths.join(F.broadcast(slices), (F.col("path") == F.col("prefix")) | F.startswith("path", F.concat("prefix", F.lit("/"))), "left")
     order = Window.partitionBy("path").orderBy(F.desc(F.char_length("prefix")), "ord")
     return hit.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("path", F.coalesce("name", F.lit("root")).alias("slice"))
+
+
+def grant_access(requests: DataFrame, grants: DataFrame, major: int = 1) -> DataFrame:
+    """``slice, peer, mode`` of each request: the mode of the first grant of its slice, by ``ord``, to that peer on this network that has
+    not ended, else null. ``requests``: ``slice, peer, now``, each once; ``grants``: ``slice, peer, ord, network_major, expires_at, mode``.
+
+    A grant without a peer is open to nobody yet, one without an end never ends. Grants that cannot count go before the join."""
+    usable = grants.where((F.col("network_major") == major) & F.col("peer").isNotNull()).drop("network_major")
+    live = requests.join(usable, ["slice", "peer"]).where(F.col("expires_at").isNull() | (F.col("now") < F.col("expires_at")))
+    first = live.groupBy("slice", "peer").agg(F.min_by("mode", "ord").alias("mode"))
+    return requests.select("slice", "peer").join(first, ["slice", "peer"], "left")

@@ -84,6 +84,11 @@ def coverage(blocks: DataFrame, store: DataFrame) -> DataFrame:
     return blocks.join(have, "hash", "left").agg(F.count("has").alias("reachable"), F.count("*").alias("total"))
 
 
+def block_vectors(blocks: DataFrame, store: DataFrame) -> DataFrame:
+    """Blocks with their vector ``v``, joined on the content hash: copies of a text share one vector."""
+    return blocks.join(store.select("hash", "v"), "hash")
+
+
 def prune(store: DataFrame, blocks: DataFrame) -> DataFrame:
     """Vectors whose hash is still in the catalog."""
     return store.join(blocks.select("hash"), "hash", "left_semi")

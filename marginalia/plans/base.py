@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(size) <= SMALL else df
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, below a temporary one, and on a local master only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="marginalia-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/marginalia/{name}-{uuid.uuid4().hex}"
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, path, ring, lang, size, text``: source/language/number as the path, the source's number as the ring."""
     d = spread(table(spark, sf_dir, "documents"))

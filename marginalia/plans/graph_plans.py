@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import code, graph, logs
@@ -181,8 +179,7 @@ def _(spark, d):
 
 def _stream(spark, d, columns):
     """The events as a stream of files written for it, so any table path will do."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{root}/marginalia/stream-{uuid.uuid4().hex}"
+    path = base.shared_path(spark, "stream")
     columns(base.events(spark, d)).repartition(4, "session").sortWithinPartitions("pos").write.parquet(f"{path}/in")
     return spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
 
@@ -255,3 +252,18 @@ def _(spark, d):
 @query("j_ledger_liveness_join", f"WITH {base.EVENTS_SQL} SELECT session, count(*) AS n FROM bash GROUP BY session")
 def _(spark, d):
     return logs.turn_summary(base.events(spark, d)).where("bash > 0").select("session", F.col("bash").alias("n"))
+
+
+@query("s11_code_scan", f"WITH {_M} SELECT path, name FROM m, (VALUES ('Box'), ('open'), ('run')) t(name)")
+def _(spark, d):
+    """Symbols of a stream of modules, which arrive in two files, each scanned once under the gate."""
+    path = base.shared_path(spark, "scan")
+    gate, files = sessions.ScanGate(), _modules(spark, d)
+    late = F.pmod(F.xxhash64("path"), F.lit(2)) == 1
+    for part in (files.where(~late), files.where(late)):
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(files.schema).parquet(f"{path}/in")
+        assert sessions.scan_code(stream, code.symbol_table, gate, f"{path}/state", f"{path}/out")
+    if gate.status()["last_error"]:
+        raise RuntimeError(gate.status()["last_error"])
+    return spark.read.parquet(f"{path}/out").select("path", "name")

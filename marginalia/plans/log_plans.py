@@ -194,14 +194,33 @@ def _(spark, d):
 
 @query("a7_append_roundtrip", f"{EV} SELECT host, count(*) AS n FROM evs GROUP BY host")
 def _(spark, d):
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{root}/marginalia/log-{uuid.uuid4().hex}"
+    path = base.shared_path(spark, "log")
     jsonl.append(base.events(spark, d).select("ts", "host", "kind", "session"), path)
     return jsonl.decode(jsonl.lines(spark, path + "/*")).groupBy("host").agg(F.count("*").alias("n"))
 
 
+@query("a7_rotation", f"""{EV}, l AS (SELECT host, pos, length(command) + 1 AS n FROM evs), s AS (SELECT *, sum(n) OVER (PARTITION BY host ORDER BY pos DESC) AS upto FROM l)
+SELECT host, CAST(sum(n) AS BIGINT) AS bytes, min(pos) AS oldest FROM s WHERE upto <= 2 * 4000 GROUP BY host""")
+def _(spark, d):
+    """What two generations of 4,000 bytes keep of each host's log."""
+    rows = base.events(spark, d).select("host", "pos", F.col("command").alias("value"))
+    kept = jsonl.rotate(rows, 4000)
+    return jsonl.footprint(kept).join(kept.groupBy("host").agg(F.min("pos").alias("oldest")), "host")
+
+
+@query("s4_coverage_barrier", f"""{EV}, x AS (SELECT pos, CASE WHEN k % 13 = 0 THEN NULL ELSE k % 5 END AS entry, CAST(k % 3 AS INTEGER) AS applied, ts, ts + k % 7 - 4 AS walk, k % 100 AS ms FROM evs)
+SELECT pos, CASE WHEN entry IS NULL OR ms > 80 THEN false ELSE entry = applied OR walk >= ts END AS fresh,
+  CASE WHEN entry IS NULL THEN 'barrier unavailable: no fingerprint of the tree' WHEN ms > 80 THEN 'barrier over budget: a walk took ' || ms || ' ms, the budget is 80 ms'
+  WHEN NOT (entry = applied OR walk >= ts) THEN 'barrier timeout: no scan has covered the tree as of this query' ELSE '' END AS note FROM x""")
+def _(spark, d):
+    """Events as queries: their numbers give the fingerprints, the times and the cost of the walk."""
+    from ..streaming import sessions
+
+    k = F.col("k")
+    fresh, note = sessions.coverage_barrier(F.when(k % 13 != 0, k % 5), F.col("ts"), k % 3, F.col("ts") + k % 7 - 4, k % 100, F.lit(80))
+    return base.events(spark, d).select("pos", fresh.alias("fresh"), note.alias("note"))
+
+
 @query("a16_import_exhaust", f"{EV} SELECT ts, 'old' AS host, kind, session FROM evs")
 def _(spark, d):
     return documents.import_exhaust(base.events(spark, d).withColumn("payload", F.lit("{}")), "old").drop("payload")

@@ -24,7 +24,7 @@ def ranked(blocks: DataFrame, store: DataFrame | None, queries: dict[int, str],
         else:
             if covered["reachable"] < covered["total"]:
                 notes.append(f"vectors cover {covered['reachable']} of {covered['total']} blocks")
-            reachable = inside.select("block_id", "hash").join(store.select("hash", "v"), "hash").select(F.col("block_id").alias("id"), "v")
+            reachable = vectors.block_vectors(inside.select("block_id", "hash"), store).select(F.col("block_id").alias("id"), "v")
             semantic = vectors.search(reachable, query_vectors, max(4 * limit, 20)).select("query_id", "id", "rank")
     else:
         notes.append("no query vectors; lexical results")

@@ -264,6 +264,28 @@ def _(spark, d):
     return ranking.placement_faults(e, 40).select("query_id")
 
 
+def _line_store(spark, d):
+    """``hash, v``: the vector whose number a document has, under the hash of its first line; of equal lines the first document's."""
+    b = base.blocks(spark, d).where("line = 1").groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
+    return b.join(_codes(spark, d).select(F.col("id").alias("doc_id"), "v"), "doc_id").select("hash", "v", "doc_id")
+
+
+@query("j2_block_vectors", f"WITH {BLOCKS_SQL}, s AS (SELECT hash, min(doc_id) AS vec_id FROM blocks WHERE line = 1 GROUP BY 1) SELECT block_id, vec_id FROM blocks JOIN s USING (hash) JOIN embeddings USING (vec_id)")
+def _(spark, d):
+    """Blocks that share a text share its vector."""
+    store = _line_store(spark, d).withColumn("v", F.col("doc_id"))
+    return vectors.block_vectors(base.blocks(spark, d).select("block_id", "hash"), store).select("block_id", F.col("v").alias("vec_id"))
+
+
+@query("v16_v19_semantic")
+def _(spark, d):
+    """Retrieval whose semantic half runs: vectors cover some of the blocks, both lists are fused, the note says how many."""
+    from . import pipeline
+
+    asked = _codes(spark, d).where(F.col("id").isin(*SEARCHES)).select(F.col("id").cast("int").alias("query_id"), F.col("v").alias("q"))
+    return pipeline.ranked(base.blocks(spark, d), _line_store(spark, d).drop("doc_id"), SEARCHES, 8, asked)
+
+
 @query("v16_v19_pipeline")
 def _(spark, d):
     """Retrieval with its notes: a slice, both halves, gate only where the answer is lexical."""

@@ -172,6 +172,43 @@ def _(spark, d):
     return base.docs(spark, d).select("doc_id", T.slice_of(F.col("path"), SLICES).alias("slice"))
 
 
+@query("f3_named_slice", f"WITH {DOCS_SQL} SELECT 'english' AS slice, doc_id FROM docs WHERE path LIKE 'src1/en/%' UNION ALL SELECT 'core', doc_id FROM docs WHERE path LIKE 'src1/%' UNION ALL SELECT 'root', doc_id FROM docs")
+def _(spark, d):
+    """Documents by the name of a slice; ``root`` holds all, an unknown name raises."""
+    x = base.docs(spark, d).select("doc_id", "path")
+    each = [x.where(T.in_slice(F.col("path"), SLICES, name)).select(F.lit(name).alias("slice"), "doc_id") for name in ("english", "core", "root")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("f13_grant_access", """SELECT o_orderpriority AS slice, 'p' || (o_custkey % 500) AS peer, arg_min(CASE WHEN o_orderstatus = 'F' THEN 'write' ELSE 'read' END, o_orderkey)
+  FILTER (WHERE o_orderkey % 4 <> 0 AND o_orderkey % 10 <> 0 AND (o_orderstatus = 'P' OR o_totalprice > 200000)) AS mode FROM orders GROUP BY ALL""")
+def _(spark, d):
+    """Each order grants its buyer access to its priority: not yet given to a peer (t = 0), of another network (m = 0), without an end (P), or ending at its price."""
+    from ..operators import governance
+
+    o = base.table(spark, d, "orders").select(F.col("o_orderpriority").alias("slice"), F.concat(F.lit("p"), F.pmod("o_custkey", F.lit(500)).cast("string")).alias("peer"), F.col("o_orderkey").alias("ord"), "o_totalprice", "o_orderstatus")
+    grants = o.select(
+        "slice", F.when(F.col("ord") % 10 != 0, F.col("peer")).alias("peer"), "ord", F.when(F.col("ord") % 4 == 0, 2).otherwise(1).alias("network_major"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("expires_at"), F.when(F.col("o_orderstatus") == "F", "write").otherwise("read").alias("mode"),
+    )
+    return governance.grant_access(o.select("slice", "peer").distinct().withColumn("now", F.lit(200000.0)), grants)
+
+
+@query("j11_code_roots", f"""WITH {DOCS_SQL} SELECT path, CASE WHEN path LIKE 'src2/de/%' THEN 0 WHEN path LIKE 'src2/%' THEN 1 WHEN path LIKE 'src1/%' THEN 2 END AS root,
+substr(path, CASE WHEN path LIKE 'src2/de/%' THEN 9 ELSE 6 END) AS relative FROM docs WHERE path LIKE 'src2/%' OR path LIKE 'src1/%'""")
+def _(spark, d):
+    from ..operators import code
+
+    return code.code_roots(base.docs(spark, d).select("path"), ["src2/de", "src2/", "src1", "src1/en"])
+
+
+@query("a5_catalog_build")
+def _(spark, d):
+    """The catalog of all documents as Markdown: rings by front matter and folder, parsed blocks without generated data, citations."""
+    marked = base.docs(spark, d).select("doc_id", "path", F.concat(F.lit("---\nring: "), (F.col("doc_id") % 7).cast("string"), F.lit("\n---\n# "), F.col("path"), F.lit("\n\n"), F.col("text")).alias("text"))
+    return catalog.build(marked, RULES)[1].select("doc_id", "path", "ring", "start_line", "end_line", "chain", "hash", "cite")
+
+
 @query("a3_indexable", f"WITH {DOCS_SQL} SELECT doc_id FROM docs WHERE NOT path LIKE 'src4/%'")
 def _(spark, d):
     return base.docs(spark, d).where(T.indexable(F.col("path"), ["src4"])).select("doc_id")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -30,6 +31,63 @@ def drained(query) -> bool:
     return query.lastProgress is None or query.exception() is None
 
 
+def coverage_barrier(entry: Column, entered_at: Column, applied: Column, walk_started_at: Column, walk_ms: Column, budget_ms: Column) -> tuple[Column, Column]:
+    """``(fresh, note)`` of a query over a source without an order of arrival.
+
+    The applied catalog covers the query when its fingerprint is that of the tree on entry, or when the walk that it came from began after
+    the query did. Where a walk of the tree costs more than the budget, none is made and the answer is labelled. No fingerprint to
+    compare with proves nothing."""
+    over = F.coalesce(walk_ms > budget_ms, F.lit(False))
+    covered = F.coalesce(applied == entry, F.lit(False)) | F.coalesce(walk_started_at >= entered_at, F.lit(False))
+    note = (
+        F.when(entry.isNull(), F.lit("barrier unavailable: no fingerprint of the tree"))
+        .when(over, F.concat(F.lit("barrier over budget: a walk took "), walk_ms.cast("string"), F.lit(" ms, the budget is "), budget_ms.cast("string"), F.lit(" ms")))
+        .when(~covered, F.lit("barrier timeout: no scan has covered the tree as of this query"))
+        .otherwise(F.lit(""))
+    )
+    return entry.isNotNull() & ~over & covered, note
+
+
+class ScanGate:
+    """One scan at a time: a second is refused, not queued. A failure keeps the counts of the last good scan, a success clears the error."""
+
+    def __init__(self) -> None:
+        self._lock = threading.Lock()
+        self._running, self._counts, self._error = False, None, None
+
+    def status(self) -> dict:
+        with self._lock:
+            return {"running": self._running, "last_counts": self._counts, "last_error": self._error}
+
+    def run(self, scan) -> bool:
+        """Run ``scan()``, which returns its counts; false if another holds the gate. Errors go to the status."""
+        with self._lock:
+            if self._running:
+                return False
+            self._running = True
+        counts, error = None, None
+        try:
+            counts = scan()
+        except Exception as e:  # the status must not stay at running
+            error = f"{type(e).__name__}: {e}"
+        with self._lock:
+            self._running, self._error = False, error
+            self._counts = self._counts if error else counts
+        return True
+
+
+def scan_code(files: DataFrame, derive, gate: ScanGate, checkpoint: str, table: str) -> bool:
+    """Derive rows from the code files ``path, ...`` that a file stream has not seen before, under the gate; its counts are files and rows."""
+    spark = files.sparkSession
+
+    def scan() -> dict:
+        refresh(files, lambda rows, generation: derive(rows), checkpoint, table).awaitTermination()
+        done = spark.read.parquet(table)
+        return done.agg(F.count_distinct("path").alias("files"), F.count("*").alias("rows")).first().asDict()
+
+    return gate.run(scan)
+
+
 def labelled(answers: DataFrame, origin: str, generation: int, fresh: bool, note: str = "") -> DataFrame:
     return answers.withColumns({"origin": F.lit(origin), "generation": F.lit(generation), "fresh": F.lit(fresh), "stale_note": F.lit(note)})
 
