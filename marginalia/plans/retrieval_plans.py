@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, lexical, ranking, vectors
+from ..operators import catalog, lexical, ranking, readiness, vectors
 from . import base
 from .base import BLOCKS_SQL, sql_list
 from .registry import query
@@ -277,6 +277,27 @@ def _(spark, d):
     return vectors.block_vectors(base.blocks(spark, d).select("block_id", "hash"), store).select("block_id", F.col("v").alias("vec_id"))
 
 
+@query("v22_readiness", """WITH x AS (SELECT c_custkey AS host, c_custkey % 2 = 0 AS conf, c_custkey % 3 <> 0 AS act, c_custkey % 5 AS a, c_custkey % 7 AS b FROM customer),
+s AS (SELECT host, CASE WHEN a <> 0 THEN 'pass' ELSE 'fail' END AS s1, CASE WHEN b <> 6 THEN 'pass' ELSE 'fail' END AS s2, CASE WHEN act AND a < 4 THEN 'pass' WHEN conf THEN 'fail' ELSE 'not-run' END AS s3,
+  CASE WHEN b < 2 AND conf THEN 'fail' WHEN b < 2 THEN 'not-run' WHEN b % 2 = 0 THEN 'pass' ELSE 'fail' END AS s4, CASE WHEN b = 0 AND conf THEN 'fail' WHEN b = 0 THEN 'not-run' WHEN b < 4 THEN 'pass' ELSE 'fail' END AS s5,
+  CASE WHEN a = 0 THEN 'not-run' WHEN a <> 4 AND b > 0 THEN 'pass' ELSE 'fail' END AS s6, CASE WHEN conf AND b <> 3 THEN 'pass' ELSE 'fail' END AS s7, CASE WHEN NOT act THEN 'not-run' WHEN a <> 2 AND b <> 5 THEN 'pass' ELSE 'fail' END AS s8, a <> 0 AS enabled FROM x),
+l AS (SELECT *, [s1, s2, s3, s4, s5, s6, s7, s8] AS ss FROM s)
+SELECT host, s1 = 'pass' AND s2 = 'pass' AND s3 = 'pass' AND s4 = 'pass' AND s5 = 'pass' AND (s6 = 'pass' OR NOT enabled) AND s7 = 'pass' AND s8 = 'pass' AS ready,
+  len(list_filter(ss, lambda v: v = 'pass')) AS passed, len(list_filter(ss, lambda v: v = 'fail')) AS failed, len(list_filter(ss, lambda v: v = 'not-run')) AS not_run FROM l""")
+def _(spark, d):
+    """Customers as hosts, whose numbers decide what each returned."""
+    n, paths = F.col("c_custkey"), lambda *p: F.array(*map(F.lit, p))
+    a, b, conf, act = n % 5, n % 7, n % 2 == 0, n % 3 != 0
+    seen = base.table(spark, d, "customer").select(
+        n.alias("host"), F.when(a != 0, paths("trap", "x", "links")).otherwise(paths("x", "trap", "links")).alias("bm25"), F.when(b >= 2, F.when(b % 2 == 0, paths("meant", "trap")).otherwise(paths("trap", "meant"))).alias("vector"),
+        F.when(b > 0, F.when(b < 4, paths("trap", "meant")).otherwise(paths("trap", "meant", "x"))).alias("hybrid"), F.when(b != 3, paths("end")).alias("neighbours"), (b != 6).alias("profile_ok"), conf.alias("configured"), act.alias("active"),
+        (a < 4).alias("query_vector"), F.lit(9).alias("documents"), conf.alias("edge_active"), (a != 0).alias("rerank_enabled"), b.alias("rerank_in"), b.alias("rerank_out"),
+        F.when(a == 0, "disabled").when(a == 4, "broken").otherwise("active").alias("rerank_status"), F.lit("local-package").alias("route"), F.lit("local").alias("execution_route"),
+        F.when(a == 2, "endpoint").otherwise("onnx").alias("backend"), F.when(b != 5, "cpu").alias("device"),
+    )
+    return readiness.verdicts(readiness.checks(seen, readiness.Fixture("trap", "links", "meant", "end", 9, 2)))
+
+
 @query("v16_v19_semantic")
 def _(spark, d):
     """Retrieval whose semantic half runs: vectors cover some of the blocks, both lists are fused, the note says how many."""
