@@ -14,7 +14,8 @@ Two documents link when ``100 * |A & B| >= 75 * |A | B|``. Sizes a and b then ne
 
 The result is components, so a list need not emit all its pairs. First each list compares with its leader (the smallest
 hash of an id), which joins large groups at once; then lists that still hold several components compare the rest across
-components in blocks, by parity bitmaps that never rule out a link; what passes is verified.
+components in blocks, by parity bitmaps that never rule out a link; what passes is verified. Of a block with more candidates than
+join its components, the nearest that do are verified first; only lists with such blocks are compared again, in full.
 Neither lists nor partners are capped.
 """
 
@@ -35,6 +36,7 @@ from .shingles import fold, mix, overlap, parity_bits, shingle_sets, slices
 SIGNATURE = 32
 LARGEST_LIGHT = 12
 BLOCK = 2048
+PAIRS = 1 << 18  # words of bitmaps that are compared at once
 
 
 def needed(a: int, b: int) -> int:
@@ -176,36 +178,51 @@ def verify(spark: SparkSession, pairs: DataFrame, docs: DataFrame, width: int) -
     return out
 
 
+def _folded(words: np.ndarray, start: np.ndarray, length: np.ndarray, size: int) -> np.ndarray:
+    """The bitmaps at ``start`` of ``words``, of ``length`` each, folded to ``size`` words."""
+    out = np.empty((len(start), size), np.uint64)
+    for whole in np.unique(length).tolist():
+        at, step = np.flatnonzero(length == whole), max(1, PAIRS // whole)
+        for k in range(0, len(at), step):
+            rows = words[start[at[k : k + step], None] + np.arange(whole)]
+            while rows.shape[1] > size:
+                half = rows.shape[1] // 2
+                rows = rows[:, :half] ^ rows[:, half:]
+            out[at[k : k + step]] = rows
+    return out
+
+
+def _near(i: np.ndarray, j: np.ndarray, n: np.ndarray, words: np.ndarray, start: np.ndarray, length: np.ndarray, first: np.ndarray):
+    """The pairs ``i, j`` that whole bitmaps don't rule out and the bits in which they differ. Short foldings (``first``) rule out most."""
+    d = np.bitwise_count(first[i] ^ first[j]).sum(1, dtype=np.int64)
+    size = first.shape[1]
+    while True:
+        keep = 7 * d <= n[i] + n[j]
+        i, j, d = i[keep], j[keep], d[keep]
+        full = np.minimum(length[i], length[j])
+        if not (full > size).any():
+            return i, j, d
+        for width in np.unique(np.minimum(full[full > size], 4 * size)).tolist():
+            at = np.flatnonzero((full > size) & (np.minimum(full, 4 * size) == width))
+            step = max(1, PAIRS // width)
+            for k in range(0, len(at), step):
+                some = at[k : k + step]
+                rows, place = np.unique(np.concatenate([i[some], j[some]]), return_inverse=True)
+                bits = _folded(words, start[rows], length[rows], width)
+                d[some] = np.bitwise_count(bits[place[: len(some)]] ^ bits[place[len(some) :]]).sum(1, dtype=np.int64)
+        size *= 4
+
+
 def _across(lists: DataFrame, everything: bool) -> DataFrame:
-    """Candidates ``a, b`` across components within blocks of a list; a row with null ends where some are left for later.
+    """Candidates ``a, b`` across components within blocks of a list; a row with null ends and ``token, left, right`` for each pair of
+    blocks where some are left for later.
 
     Input rows: ``token, left, right, side, doc_id, n, comp, bits``, where (left, right) names a pair of blocks of the list. Unless
     ``everything``, only a spanning forest of the nearest candidates over components is given: one fewer than components at most."""
+    names = ["token", "left", "right"]
 
-    def group(rows):
-        found = []
-        order = sorted(rows, key=lambda r: (r[1], r[0]))  # by size, then id
-        n = np.array([r[1] for r in order])
-        comp = np.array([r[2] for r in order])
-        side = np.array([r[4] for r in order])
-        words = np.stack([fold(np.frombuffer(r[3], np.uint64), 4) for r in order])
-        for i, row in enumerate(order):
-            end = np.searchsorted(n, 4 * row[1] // 3, side="right")
-            if end <= i + 1:
-                continue
-            other = comp[i + 1 : end] != comp[i]
-            if side[i] != 2:
-                other &= side[i + 1 : end] != side[i]
-            at = np.flatnonzero(other) + i + 1
-            if not len(at):
-                continue
-            far = np.bitwise_count(words[at] ^ words[i]).sum(1)
-            for j in at[7 * far <= n[at] + row[1]].tolist():
-                d = _popcount_differs(row[3], order[j][3])
-                if 7 * d <= row[1] + order[j][1]:
-                    found.append((d, min(row[0], order[j][0]), max(row[0], order[j][0]), row[2], order[j][2]))
-        if everything:
-            return {f[1:3] for f in found}, 0
+    def forest(rows):
+        """Of one list's candidates ``d, a, b, comp of a, comp of b``, nearest first, those that join components."""
         parent: dict[int, int] = {}
 
         def top(x):
@@ -213,36 +230,78 @@ def _across(lists: DataFrame, everything: bool) -> DataFrame:
                 x = parent[x]
             return x
 
-        taken = set()
-        for _, a, b, left, right in sorted(found):
+        taken = []
+        for _, a, b, left, right in sorted(rows):
             left, right = top(left), top(right)
             if left != right:
                 parent[left] = right
-                taken.add((a, b))
-        return taken, len(found) - len(taken)
+                taken.append((a, b))
+        return taken
+
+    def group(held):
+        """Pairs and names of unfinished lists of some whole lists, all compared at once."""
+        rows = pa.Table.from_batches(held)
+        keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in names])
+        which = np.cumsum(np.concatenate([[False], (keys[:, 1:] != keys[:, :-1]).any(0)]))
+        doc, n, comp, side = (rows.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "n", "comp", "side"))
+        bits = rows.column("bits").cast(pa.large_binary()).combine_chunks()
+        words = np.frombuffer(bits.buffers()[2], np.uint64)
+        ends = np.frombuffer(bits.buffers()[1], np.int64)[bits.offset : bits.offset + len(bits) + 1] // 8
+        order = np.lexsort((doc, n, which))  # by size, then id
+        start, length = ends[:-1][order], np.diff(ends)[order]
+        doc, n, comp, side, which, keys = doc[order], n[order], comp[order], side[order], which[order], keys[:, order]
+        first = _folded(words, start, length, 4)
+        # row i meets the rows after it in its list whose size can link; sizes are ranked, so that list and size make one sorted number
+        sizes, rank = np.unique(n, return_inverse=True)
+        most = np.searchsorted(sizes, 4 * n // 3, side="right")
+        count = np.searchsorted(which * (len(sizes) + 1) + rank, which * (len(sizes) + 1) + most, side="left") - np.arange(len(n)) - 1
+        total = np.cumsum(count)
+        found, at = [], 0
+        while at < len(n):
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS // 4, side="right")))
+            c = count[at:stop]
+            i = np.repeat(np.arange(at, stop), c)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+            other = (comp[i] != comp[j]) & ((side[i] == 2) | (side[i] != side[j]))
+            found.append(_near(i[other], j[other], n, words, start, length, first))
+            at = stop
+        i, j, d = (np.concatenate([f[k] for f in found]) for k in range(3))
+        a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
+        if everything:
+            return [(x, y, None, None, None) for x, y in set(zip(a.tolist(), b.tolist(), strict=True))]
+        out = set()
+        bounds = np.flatnonzero(np.diff(which[i], prepend=-1, append=-1)) if len(i) else np.zeros(1, np.int64)
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            rows = set(zip(*(v[x:y].tolist() for v in (d, a, b, comp[i], comp[j])), strict=True))
+            taken = forest(rows)
+            out.update((p, q, None, None, None) for p, q in taken)
+            if len(taken) < len(rows):
+                out.add((None, None, *keys[:, i[x]].tolist()))
+        return list(out)
 
     def run(batches):
-        key, rows = None, []
-
         def flush():
-            found, later = group(rows) if len(rows) > 1 else (set(), 0)
-            pairs = [*found, *([(None, None)] if later else [])]
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            rows = group(held) if sum(len(h) for h in held) > 1 else []
+            types = [pa.int64()] * 3 + [pa.int32()] * 2
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["a", "b", *names])
 
+        held, last = [], None
         for batch in batches:
-            columns = batch.to_pydict()
-            for k, *row in zip(zip(columns["token"], columns["left"], columns["right"], strict=True), columns["doc_id"], columns["n"], columns["comp"], columns["bits"], columns["side"], strict=True):
-                if k != key:
-                    if rows:
-                        yield flush()
-                    key, rows = k, []
-                rows.append(row)
-        if rows:
+            if not len(batch):
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
+            begins = np.flatnonzero((keys != np.concatenate([keys[:, :1] if last is None else last, keys[:, :-1]], 1)).any(0))
+            if len(begins):  # the lists before the last one are whole
+                held.append(batch.slice(0, begins[-1]))
+                yield flush()
+                held, batch = [], batch.slice(begins[-1])
+            held.append(batch)
+            last = keys[:, -1:]
+        if held:
             yield flush()
 
-    names = ["token", "left", "right"]
     dealt = lists.repartition(*names).sortWithinPartitions(*names)
-    return dealt.select("token", "left", "right", "side", "doc_id", "n", "comp", "bits").mapInArrow(common.lean(run), "a long, b long")
+    return dealt.select(*names, "side", "doc_id", "n", "comp", "bits").mapInArrow(common.lean(run), "a long, b long, token long, left int, right int")
 
 
 def _blocks(lists: DataFrame) -> DataFrame:
@@ -293,23 +352,28 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     candidates, _ = common.materialize(spark, _may_link(described(led)).distinct(), "candidates")
     edges.append(verify(spark, candidates, docs, width))
 
-    everything, found = False, _union(edges)
+    found, again = _union(edges), None
     while True:
         found, _ = common.materialize(spark, found, "found")
         comp = common.components(spark, found)
-        named = shared.where("f > 2").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
+        open_lists = shared.where("f > 2")
+        if again is not None:
+            open_lists = open_lists.join(again, "token", "left_semi")
+        named = open_lists.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
         mixed = named.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
-        rest = named.join(mixed, "token").join(info.drop("n"), "doc_id").select("token", "f", "doc_id", "n", "comp", "bits")
-        across, across_path = common.materialize(spark, _across(_blocks(rest), everything).distinct(), "across")
-        later = not across.where("a is null").isEmpty()
-        links = verify(spark, across.where("a is not null"), docs, width)
-        common.drop_path(spark, across_path)
+        rest = _blocks(named.join(mixed, "token").join(info.drop("n"), "doc_id").select("token", "f", "doc_id", "n", "comp", "bits"))
+        across, across_path = common.materialize(spark, _across(rest, again is not None).distinct(), "across")
+        links = verify(spark, across.where("a is not null").select("a", "b"), docs, width)
         merged = not links.isEmpty()
         if merged:
             found = found.unionByName(links)
-        if everything or not later:
+        if again is not None:
+            common.drop_path(spark, again_path)
+        # what the forest has not joined is compared in full; of the other lists every candidate has been verified
+        again, again_path = across.where("a is null").select("token").distinct(), across_path
+        if again.isEmpty():
+            common.drop_path(spark, again_path)
             break
-        everything = True  # what the forest has not joined is compared in full
     if merged:
         comp = common.components(spark, found)
     return (

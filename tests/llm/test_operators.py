@@ -400,6 +400,35 @@ def test_jaccard_of_long_sets_at_the_threshold(spark, monkeypatch, block):
     assert got == _brute_components(texts)
 
 
+def test_jaccard_names_the_blocks_left_open(spark):
+    """Only blocks with more candidates than their forest holds are to be compared again; all candidates are those of plain loops."""
+    from marginalia.llm import shingles
+
+    rng, rows = np.random.default_rng(11), []
+
+    def near(size, k):
+        base = rng.integers(0, 1 << 62, size).astype(np.uint64)
+        return [np.concatenate([base[: size - x], rng.integers(0, 1 << 62, x).astype(np.uint64)]) for x in range(k)]
+
+    far = [x for size in (20, 90, 600, 600, 700, 2000) for x in near(size, 1)]
+    lists = {(1, 0, 0): near(600, 3) + far, (2, 0, 0): near(40, 2) + far, (3, 0, 0): far, (4, 0, 1): near(900, 4), (5, 0, 0): near(30, 1), (6, 1, 1): near(5000, 5)}
+    for (token, left, right), sets in lists.items():
+        for k, x in enumerate(sets):
+            side = 2 if left == right else k % 2
+            rows.append((token, left, right, side, 100 * token + k, len(x), 100 * token + (3 if token == 6 and k > 2 else k), bytearray(shingles.parity_bits(x))))
+    df = spark.createDataFrame(rows, "token long, left int, right int, side int, doc_id long, n long, comp long, bits binary")
+    plain = {
+        (x[4], y[4])
+        for x, y in itertools.combinations(rows, 2)
+        if x[:3] == y[:3] and x[6] != y[6] and (x[3] == 2 or x[3] != y[3]) and 4 * min(x[5], y[5]) >= 3 * max(x[5], y[5]) and 7 * jaccard._popcount_differs(bytes(x[7]), bytes(y[7])) <= x[5] + y[5]
+    }
+    assert {(r["a"], r["b"]) for r in jaccard._across(df, True).collect()} == plain and len(plain) >= 16
+    some = jaccard._across(df, False).collect()
+    assert {(r["token"], r["left"], r["right"]) for r in some if r["a"] is None} == {(1, 0, 0), (4, 0, 1), (6, 1, 1)}
+    pairs = {(r["a"], r["b"]) for r in some if r["a"] is not None}
+    assert pairs <= plain and sorted(a // 100 for a, _ in pairs) == [1, 1, 2, 4, 4, 4, 6, 6, 6]
+
+
 def test_overlap_of_sets():
     from marginalia.llm import shingles
 
