@@ -6,6 +6,7 @@ import ast
 import posixpath
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -26,13 +27,20 @@ def language(path: str) -> str | None:
     return LANGUAGES.get(path.rsplit(".", 1)[-1].lower()) if "." in path else None
 
 
+@lru_cache(maxsize=1)
+def _tree(source: str) -> ast.Module | None:
+    """The syntax tree, kept for the next call: symbols, uses and imports of a file are taken one after another."""
+    try:
+        return ast.parse(source)
+    except (SyntaxError, ValueError):
+        return None
+
+
 def symbols(path: str, source: str) -> list[tuple[str, str, int, int, int | None]]:
     """(name, kind, first line, last line, first line of the symbol around it)."""
     lang = language(path)
     if lang == "python":
-        try:
-            tree = ast.parse(source)
-        except (SyntaxError, ValueError):
+        if (tree := _tree(source)) is None:
             return []
         out = []
 
@@ -77,9 +85,7 @@ def uses(path: str, source: str) -> list[tuple[str, str | None, str, int, int]]:
                 line = line.split("{", 1)[-1] if "{" in line else ""
             out += [(m[2], m[1], "calls", number, number) for m in re.finditer(r"(?:(\w+)(?:\.|::))?\b(\w+)\(", line) if m[2] not in {"if", "for", "while", "switch", "match", "return", "fn", "func", "function"}]
         return list(dict.fromkeys(out))
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError):
+    if (tree := _tree(source)) is None:
         return []
     out = []
 
@@ -106,9 +112,7 @@ def imports(path: str, source: str) -> list[tuple[int, list[str], str, str, str]
     here = posixpath.dirname(path)
     head = source.split("\n")[:HEAD_LINES]
     if lang == "python":
-        try:
-            tree = ast.parse(source)
-        except (SyntaxError, ValueError):
+        if (tree := _tree(source)) is None:
             return []
         module = lambda dotted: [f"{dotted}.py", f"{dotted}/__init__.py"]
         for node in (n for n in ast.walk(tree) if getattr(n, "lineno", 0) <= HEAD_LINES):
@@ -181,37 +185,62 @@ def _explode(files: DataFrame, function, columns: list[str], schema: str) -> Dat
     return files.select("path", "source").mapInPandas(run, "path string, " + schema)
 
 
+_SYMBOLS = "name string, kind string, start_line int, end_line int, parent_start_line int"
+_USES = "name string, qualifier string, relation string, start_line int, end_line int"
+_IMPORTS = "line int, candidates array<string>, local_name string, target_name string, kind string"
+
+
 def symbol_table(files: DataFrame) -> DataFrame:
-    return _explode(files, symbols, ["name", "kind", "start_line", "end_line", "parent_start_line"], "name string, kind string, start_line int, end_line int, parent_start_line int")
+    return _explode(files, symbols, ["name", "kind", "start_line", "end_line", "parent_start_line"], _SYMBOLS)
 
 
 def use_table(files: DataFrame) -> DataFrame:
     """Uses with the symbol that holds them: the largest last line among equals of a first line, by the widest one."""
-    found = _explode(files, uses, ["name", "qualifier", "relation", "start_line", "end_line"], "name string, qualifier string, relation string, start_line int, end_line int")
+    found = _explode(files, uses, ["name", "qualifier", "relation", "start_line", "end_line"], _USES)
     return found.dropDuplicates()
 
 
+def parsed(files: DataFrame) -> DataFrame:
+    """``path, symbols, uses, imports``: all that a file declares, uses and imports, from one parse; to be written once and read by each of the three tables."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(p, symbols(p, s), uses(p, s), imports(p, s)) for p, s in zip(frame["path"], frame["source"], strict=True) if s]
+            yield pd.DataFrame(rows, columns=["path", "symbols", "uses", "imports"])
+
+    # structs are given as tuples, by place
+    return files.select("path", "source").mapInPandas(run, f"path string, symbols array<struct<{_SYMBOLS}>>, uses array<struct<{_USES}>>, imports array<struct<{_IMPORTS}>>")
+
+
+def parsed_table(parsed_: DataFrame, column: str) -> DataFrame:
+    """One of the tables of ``parsed``: ``path`` and the fields of ``column``."""
+    out = parsed_.select("path", F.explode(column).alias("x")).select("path", "x.*")
+    return out.dropDuplicates() if column == "uses" else out
+
+
 def unmeasured(files: DataFrame) -> DataFrame:
     """Why a file has no symbols: its language has no parser here."""
     low = F.lower(F.regexp_extract("path", r"\.([^./]+)\z", 1))
     return files.select("path", F.when(~low.isin(list(LANGUAGES)), "unsupported-language").alias("unmeasured"))
 
 
-def import_tables(files: DataFrame, go_module: str | None = None) -> tuple[DataFrame, DataFrame]:
+def import_tables(files: DataFrame, go_module: str | None = None, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``edges(src, dst, start_line)`` and ``bindings(src, dst, start_line, local_name, target_name, kind)``.
 
-    The first candidate that exists is taken. A Go import is a directory and leads to all its files but tests."""
-    found = _explode(files, imports, ["line", "candidates", "local_name", "target_name", "kind"], "line int, candidates array<string>, local_name string, target_name string, kind string")
+    The first candidate that exists is taken. A Go import is a directory and leads to all its files but tests. ``found`` are the
+    imports where they are known already. Paths are as many as files, however small they compress, so they are never broadcast."""
+    if found is None:
+        found = _explode(files, imports, ["line", "candidates", "local_name", "target_name", "kind"], _IMPORTS)
     found = found.withColumn("_id", F.xxhash64("path", "line", "local_name", "target_name", F.array_join("candidates", "|")))
-    tried = found.select("*", F.posexplode("candidates").alias("ord", "dst")).where(~F.startswith("dst", F.lit("go:")))
-    exists = tried.join(files.select(F.col("path").alias("dst")), "dst")
-    best = exists.withColumn("_n", F.row_number().over(Window.partitionBy("path", "_id").orderBy("ord"))).where("_n = 1")
+    tried = found.select("path", "_id", "line", "local_name", "target_name", "kind", F.posexplode("candidates").alias("ord", "dst")).where(~F.startswith("dst", F.lit("go:")))
+    exists = tried.join(files.select(F.col("path").alias("dst")).hint("merge"), "dst")
+    best = exists.groupBy("path", "_id").agg(F.min(F.struct("ord", "dst", "line", "local_name", "target_name", "kind")).alias("m")).select("path", "m.*")
     out = best.select(F.col("path").alias("src"), "dst", F.col("line").alias("start_line"), "local_name", "target_name", "kind")
     if go_module:
         folders = files.where(F.endswith("path", F.lit(".go")) & ~F.endswith("path", F.lit("_test.go"))).select(F.col("path").alias("dst"), F.regexp_replace("path", r"/?[^/]*\z", "").alias("folder"))
         go = found.select("*", F.explode("candidates").alias("c")).where(F.startswith("c", F.lit(f"go:{go_module}")))
         go = go.withColumn("folder", F.regexp_replace(F.substring("c", len(go_module) + 4, 10_000), "^/", ""))
-        out = out.unionByName(go.join(folders, "folder").select(F.col("path").alias("src"), "dst", F.col("line").alias("start_line"), "local_name", "target_name", "kind"))
+        out = out.unionByName(go.join(folders.hint("merge"), "folder").select(F.col("path").alias("src"), "dst", F.col("line").alias("start_line"), "local_name", "target_name", "kind"))
     out = out.where("src <> dst")
     return out.select("src", "dst", "start_line").distinct(), out.where("kind <> 'edge'").distinct()
 
@@ -220,8 +249,9 @@ def resolve_uses(uses_: DataFrame, bindings: DataFrame, symbols_: DataFrame) ->
     """Uses that mean exactly one top-level symbol, in the own file or through a binding; type bindings serve references only."""
     top = symbols_.where("parent_start_line is null").select(F.col("path").alias("dst"), F.col("name").alias("target"), F.col("start_line").alias("target_line"))
     keys = ["path", "name", "qualifier", "relation", "start_line", "end_line"]
+    top = top.hint("merge")
     own = uses_.where("qualifier is null").join(top, (F.col("path") == F.col("dst")) & (F.col("name") == F.col("target")))
-    b = bindings.select(F.col("src"), F.col("dst").alias("b_dst"), "local_name", "target_name", F.col("kind").alias("b_kind"))
+    b = bindings.select(F.col("src"), F.col("dst").alias("b_dst"), "local_name", "target_name", F.col("kind").alias("b_kind")).hint("merge")
     allowed = ~F.endswith("b_kind", F.lit("-type")) | (F.col("relation") == "references")
     direct = uses_.where("qualifier is null").join(b, (F.col("path") == F.col("src")) & (F.col("name") == F.col("local_name"))).where(F.startswith("b_kind", F.lit("symbol")) & allowed)
     direct = direct.join(top, (F.col("b_dst") == F.col("dst")) & (F.col("target_name") == F.col("target")))
@@ -235,7 +265,7 @@ def resolve_uses(uses_: DataFrame, bindings: DataFrame, symbols_: DataFrame) ->
 def containers(uses_: DataFrame, symbols_: DataFrame) -> DataFrame:
     """The symbol around each use that starts last; of equals the one with the largest last line, then the last name."""
     s = symbols_.select("path", F.col("name").alias("container"), F.col("start_line").alias("c_start"), F.col("end_line").alias("c_end"))
-    inside = uses_.join(s, "path").where("start_line between c_start and c_end")
+    inside = uses_.join(s.hint("merge"), "path").where("start_line between c_start and c_end")
     keys = ["path", "name", "qualifier", "relation", "start_line", "end_line"]
     return inside.groupBy(*keys).agg(F.max(F.struct("c_start", "c_end", "container")).alias("m")).select(*keys, F.col("m.container").alias("container"), F.col("m.c_start").alias("container_start_line"))
 
@@ -243,12 +273,13 @@ def containers(uses_: DataFrame, symbols_: DataFrame) -> DataFrame:
 def symbol_context(name: str, symbols_: DataFrame, resolved: DataFrame, held: DataFrame, limit: int = 20) -> DataFrame:
     """``relation, path, name, start_line, total``: what a symbol contains, what calls it and what refers to it; totals before the limit."""
     own = symbols_.where(F.col("name") == name)
-    inner = symbols_.alias("i").join(own.alias("o"), (F.col("i.path") == F.col("o.path")) & (F.col("i.parent_start_line") == F.col("o.start_line"))).select(F.lit("contains").alias("relation"), F.col("i.path").alias("path"), F.col("i.name").alias("name"), F.col("i.start_line").alias("start_line"))
+    inner = symbols_.alias("i").join(own.alias("o").hint("merge"), (F.col("i.path") == F.col("o.path")) & (F.col("i.parent_start_line") == F.col("o.start_line"))).select(F.lit("contains").alias("relation"), F.col("i.path").alias("path"), F.col("i.name").alias("name"), F.col("i.start_line").alias("start_line"))
     keys = ["path", "name", "relation", "start_line", "end_line"]
-    used = resolved.where(F.col("target") == name).join(held.drop("qualifier"), keys, "left").select("relation", "path", F.coalesce("container", F.lit("(file)")).alias("name"), "start_line")
-    w = Window.partitionBy("relation")
+    used = resolved.where(F.col("target") == name).join(held.drop("qualifier").hint("merge"), keys, "left").select("relation", "path", F.coalesce("container", F.lit("(file)")).alias("name"), "start_line")
     every = inner.unionByName(used.distinct())
-    return every.withColumn("total", F.count("*").over(w)).withColumn("_n", F.row_number().over(w.orderBy("path", "start_line", "name"))).where(F.col("_n") <= limit).drop("_n")
+    # a relation's rows are cut within each task before they meet; totals are one row a relation
+    first = every.withColumn("_n", F.row_number().over(Window.partitionBy("relation").orderBy("path", "start_line", "name"))).where(F.col("_n") <= limit).drop("_n")
+    return first.join(F.broadcast(every.groupBy("relation").agg(F.count("*").alias("total"))), "relation").select("relation", "path", "name", "start_line", "total")
 
 
 def largest_symbols(symbols_: DataFrame, path: str, limit: int = 5) -> DataFrame:

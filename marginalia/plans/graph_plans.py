@@ -129,9 +129,15 @@ def _(spark, d):
 _SOURCES = "concat('from .m', (p_partkey + 1) % {n}, ' import run as go\nimport os\n\nclass Box:\n    def open(self):\n        return go(', p_size, ')\n\ndef run(x):\n    return x\n')"
 
 
+#: Modules that one task parses: their table is small on disk, so its splits say nothing about the work.
+_TASK_MODULES = 50_000
+
+
 def _modules(spark, d):
-    parts = base.table(spark, d, "part")
-    return parts.select(F.concat(F.lit("pkg/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.expr(_SOURCES.format(n=max(1, parts.count()))).alias("source"))
+    parts = base.table(spark, d, "part").select("p_partkey", "p_size")
+    n = parts.count()
+    parts = parts.repartition(max(spark.sparkContext.defaultParallelism, -(-n // _TASK_MODULES)))
+    return parts.select(F.concat(F.lit("pkg/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), F.expr(_SOURCES.format(n=max(1, n))).alias("source"))
 
 
 _M = "m AS (SELECT p_partkey AS i, 'pkg/m' || p_partkey || '.py' AS path FROM part)"
