@@ -82,7 +82,24 @@ def capped_events(rows: DataFrame, partition: list[str], order: str, size: str,
 def ir_metrics(ranked: DataFrame, qrels: DataFrame, k: int = 10, deep: int = 100) -> DataFrame:
     """``query_id, ndcg, recall, mrr`` with binary relevance: at ``k``, ``deep`` and ``k``."""
     rel = qrels.groupBy("query_id").agg(F.count("*").alias("n_rel"))
-    hit = ranked.join(qrels.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+    return hit_metrics(ranked.join(qrels.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi"), rel, k, deep)
+
+
+def label_metrics(ranked: DataFrame, labels: DataFrame, is_query: Column | str, k: int = 10, deep: int = 100) -> DataFrame:
+    """``ir_metrics`` where the documents of a query's own label, itself left out, are relevant. ``labels``: ``id, label``.
+
+    The pairs of a query and a relevant document grow with the square of a label's size and are not made: they are counted by label, and a hit is one whose label agrees."""
+    once = labels.where("label is not null").groupBy("id", "label").agg(F.count("*").alias("own"))
+    asked = once.where(is_query).withColumnRenamed("id", "query_id")
+    sizes = once.groupBy("label").agg(F.sum("own").alias("n"))
+    rel = asked.join(sizes, "label").groupBy("query_id").agg(F.sum(F.col("own") * (F.col("n") - F.col("own"))).alias("n_rel")).where("n_rel > 0")
+    found = ranked.where("query_id <> doc_id").join(asked.select("query_id", "label").hint("merge"), "query_id")
+    hit = found.join(once.select(F.col("id").alias("doc_id"), "label").hint("merge"), ["doc_id", "label"], "left_semi")
+    return hit_metrics(hit, rel, k, deep)
+
+
+def hit_metrics(hit: DataFrame, rel: DataFrame, k: int = 10, deep: int = 100) -> DataFrame:
+    """``ir_metrics`` of the ranked documents that are relevant and of the number ``n_rel`` of relevant ones of each query."""
     gains = hit.groupBy("query_id").agg(
         F.sum(F.when(F.col("rank") <= k, 1 / F.log2(F.col("rank") + 1))).alias("dcg"),
         F.sum(F.when(F.col("rank") <= deep, 1)).alias("found"),

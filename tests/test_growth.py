@@ -1,5 +1,10 @@
 """Steps that must not gather a growing table in the driver or in one task."""
 
+from fractions import Fraction
+
+import numpy as np
+
+from marginalia.operators import ranking, vectors
 from marginalia.plans import registry
 
 registry.load()
@@ -11,3 +16,34 @@ def physical(df) -> str:
 
 def test_imports_do_not_broadcast_paths(spark, data):
     assert "BroadcastHashJoin" not in physical(registry.QUERIES["c3_imports"](spark, data))
+
+
+def test_vector_search_has_no_join_and_breaks_ties_exactly(spark):
+    rng = np.random.default_rng(5)
+    codes = rng.integers(-127, 128, (700, 8))
+    codes[300:650] = codes[7]  # more equal vectors than the limit
+    codes[650:660] = 0
+    rows = [(i, [int(x) for x in v]) for i, v in enumerate(codes)] + [(900, None), (901, [1, 2]), (902, [1] * 7 + [None])]
+    store = spark.createDataFrame(rows, "id long, v array<int>")
+    queries = store.where("id % 20 = 0").selectExpr("cast(id as int) as query_id", "v as q")
+    found = vectors.search(store, queries, 12)
+    assert "NestedLoop" not in physical(found) and dict(found.dtypes)["query_id"] == "int"
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["id"])
+    alive = [i for i in range(700) if codes[i].any()]
+    for q in range(0, 700, 20):
+        d = {i: int(codes[q] @ codes[i]) for i in alive}
+        want = sorted(alive, key=lambda i: (-Fraction(d[i] * abs(d[i]), int(codes[i] @ codes[i])), i))[:12]
+        assert got[q] == want
+    assert [r["id"] for r in vectors.search(store, store.where("id = 901").selectExpr("id as query_id", "v as q"), 12).collect()] == [901]
+
+
+def test_relevant_pairs_are_counted_and_not_made(spark, data):
+    plan = physical(registry.QUERIES["v20_ir_metrics"](spark, data))
+    assert "(label = label" not in plan and "NestedLoop" not in plan and "BroadcastHashJoin [label" not in plan
+    labels = spark.createDataFrame([(20, 1), (21, 1), (22, 1), (40, 2), (60, None), (23, 2)], "id long, label int")
+    ranked = spark.createDataFrame([(20, 22, 1), (20, 23, 2), (20, 21, 3), (40, 20, 1), (60, 20, 1)], "query_id long, doc_id long, rank int")
+    qrels = spark.createDataFrame([(20, 21), (20, 22), (40, 23)], "query_id long, doc_id long")
+    got = sorted(map(tuple, ranking.label_metrics(ranked, labels, "id % 20 = 0").collect()))
+    assert got == sorted(map(tuple, ranking.ir_metrics(ranked, qrels).collect())) and len(got) == 2
