@@ -29,16 +29,15 @@ def ranked(blocks: DataFrame, store: DataFrame | None, queries: dict[int, str],
     else:
         notes.append("no query vectors; lexical results")
     # statistics of all blocks, ranks within the slice
-    scored = lexical.score(blocks, lexical.phrase_table(spark, queries))
+    phrases = lexical.phrase_table(spark, queries)
+    scored = lexical.score(blocks, phrases, ("cite", "chain", "path"))
     if prefixes:
-        scored = scored.join(inside.select("block_id"), "block_id", "left_semi")
-    lexic = lexical.rank(scored)
+        scored = scored.where(T.under_prefix(F.col("path"), prefixes))
     columns = ["query_id", "rank", "block_id", "cite", "path", "ring", "ctx", "chain", "text"]
     if semantic is None:
-        hits = lexic.select("query_id", "block_id", "rank").join(inside, "block_id").select(columns)
-        hits = catalog.reserve_ring_band(catalog.dedup_mirrors(hits, ["query_id"]), 1, ["query_id"]).where(F.col("rank") <= 2 * limit)
+        hits = lexical.recall(scored, inside, phrases, 2 * limit)
     else:
-        lists = [semantic, lexic.where(F.col("rank") <= max(4 * limit, 20)).select("query_id", F.col("block_id").alias("id"), "rank")] if hybrid else [semantic]
+        lists = [semantic, lexical.rank(scored, max(4 * limit, 20)).select("query_id", F.col("block_id").alias("id"), "rank")] if hybrid else [semantic]
         top = vectors.fuse(lists, 2.0, limit).select("query_id", F.col("id").alias("block_id"), "rank")
         hits = catalog.dedup_mirrors(top.join(inside, "block_id").select(columns), ["query_id"])
     if reranker is not None:

@@ -47,3 +47,51 @@ def test_relevant_pairs_are_counted_and_not_made(spark, data):
     qrels = spark.createDataFrame([(20, 21), (20, 22), (40, 23)], "query_id long, doc_id long")
     got = sorted(map(tuple, ranking.label_metrics(ranked, labels, "id % 20 = 0").collect()))
     assert got == sorted(map(tuple, ranking.ir_metrics(ranked, qrels).collect())) and len(got) == 2
+
+
+def test_recall_folds_before_it_ranks_with_the_same_hits(spark):
+    rng = np.random.default_rng(2)
+    words = ["license", "thand", "other", "License  thand", "grant"]
+    rows = []
+    for i in range(400):
+        text = " ".join(rng.choice(words, rng.integers(1, 4)))
+        rows.append((i, f"p{i % 90}", int(rng.integers(0, 5)), "ab"[i % 2], "en", text, f"r{i % 5}-{'%02x' % (len(text) % 7)}"))
+    blocks = spark.createDataFrame(rows, "block_id long, path string, ring int, chain string, ctx string, text string, cite string")
+    phrases = lexical.phrase_table(spark, {1: "license thand", 2: "grant", 3: "absent"})
+    ranked = lexical.rank(lexical.score(blocks, phrases)).select("query_id", "block_id", "rank")
+    old = catalog.reserve_ring_band(catalog.dedup_mirrors(ranked.join(blocks, "block_id"), ["query_id"]), 1, ["query_id"])
+    for limit in (1, 3, 50):
+        new = lexical.recall(lexical.score(blocks, phrases, ("cite", "chain")), blocks, phrases, limit)
+        columns = ["query_id", "rank", "block_id", "chain", "cite", "path", "ring", "ctx", "text", "mirrors"]
+        rows_ = lambda df: sorted(tuple(map(str, r)) for r in df.select(columns).collect())
+        assert rows_(new) == rows_(old.where(F.col("rank") <= limit))
+    assert "[query_id" in physical(new) and physical(new).count("WindowGroupLimit") >= 2
+
+
+def test_markdown_blocks_come_in_bounded_batches(spark, monkeypatch):
+    held = []
+    text = "\n\n".join(f"line {i} " + "x" * 2000 for i in range(700))
+    docs = spark.createDataFrame([(i, text) for i in range(4)] + [(9, None)], "doc_id long, text string").coalesce(1)
+    schema = markdown.explode_blocks(docs)
+
+    def measure(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]}, schema=pa.schema([("n", pa.int64())]))
+
+    assert schema.count() == 2800
+    plan = physical(schema)
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    pieces = [b.nbytes for b in markdown.block_batches(iter(docs.toArrow().combine_chunks().to_batches()))]
+    assert len(pieces) >= 5 and max(pieces) < 2 * markdown.PIECE_CHARS
+
+
+def test_private_regions_use_no_data_frames(spark, data):
+    plan = physical(registry.QUERIES["p4_p5_private"](spark, data))
+    assert "ArrowEvalPython" in plan and markdown.without_private.__module__ == "marginalia.functions.markdown" and not hasattr(markdown, "pd")
+
+
+def test_symbol_context_parses_once(spark, data):
+    plan = physical(registry.QUERIES["c10_j9_j10_symbol_context"](spark, data))
+    assert "MapInPandas" not in plan and "WindowGroupLimit" in plan
