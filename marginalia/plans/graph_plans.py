@@ -160,9 +160,11 @@ def _(spark, d):
 
 @query("c10_j9_j10_symbol_context", f"WITH {_M} SELECT relation, path, name, CAST(line AS INTEGER) AS start_line FROM (SELECT 'calls' AS relation, path, 'open' AS name, 6 AS line FROM m) ORDER BY path LIMIT 1000")
 def _(spark, d):
-    files = _modules(spark, d)
-    symbols, uses = code.symbol_table(files), code.use_table(files)
-    resolved = code.resolve_uses(uses, code.import_tables(files)[1], symbols)
+    files, path = _modules(spark, d), base.shared_path(spark, "modules")
+    code.parsed(files).write.parquet(path)  # parsed once, read by each of the tables below
+    made = spark.read.parquet(path)
+    symbols, uses = code.parsed_table(made, "symbols"), code.parsed_table(made, "uses")
+    resolved = code.resolve_uses(uses, code.import_tables(files, found=code.parsed_table(made, "imports"))[1], symbols)
     held = code.containers(uses, symbols).select("path", "name", "qualifier", "relation", "start_line", "end_line", "container")
     return code.symbol_context("run", symbols, resolved, held, 1000).select("relation", "path", "name", "start_line")
 
